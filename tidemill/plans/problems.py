@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import units
-from tidemill.sources.tables import table
+from tidemill.operators import compaction, units
+from tidemill.sources.tables import materialize, shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -17,6 +19,33 @@ def query(f):
     return f
 
 
+def _compaction_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = materialize(compaction.owners(table(spark, sf_dir, "obs")), "owners")
+    return compaction.plan(compaction.contributions(own, table(spark, sf_dir, "dict_obs")))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that the compaction's journal drops, as they add no reading."""
+    return _compaction_plan(spark, sf_dir)[0].filter("action = 'drop'").select("file_id")
+
+
+@query
+def p4_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal's transactions: level, action, txn_id, output, inputs and rows."""
+    journal, _ = _compaction_plan(spark, sf_dir)
+    return journal.groupBy("level", "action", "txn_id").agg(F.max("output_id").alias("output_id"), F.count("*").alias("n_inputs"), F.sum("n_rows").alias("n_rows"))
+
+
+@query
+def p4_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewrite the readings of the whole table into few files in the shared folder, and read them back by sensor."""
+    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    compaction.compact(spark, table(spark, sf_dir, "obs"), table(spark, sf_dir, "dict_obs"), out)
+    back = spark.read.parquet(f"{out}/data/*")
+    return back.groupBy("sensor").agg(F.count("*").alias("n_readings"), F.count_distinct("obs_id").alias("n_distinct"), F.count_distinct("output_id").alias("n_outputs"))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
@@ -31,3 +60,9 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = units.converted_records(t("obs"), t("dict_obs"), t("diag_ref"), t("diag_bas"))
     band = (F.floor(F.col("lon_east") / 10) * 10).cast("int").alias("band")
     return all_.groupBy("tab", band).agg(F.count("*").alias("n"), F.count_if(~F.coalesce("bare_east", F.lit(False))).alias("n_converted"))
+
+
+SQL["p4_found"] = """
+WITH own AS (SELECT obs_id, min(file_id) AS file_id FROM obs WHERE obs_id IS NOT NULL AND file_id IS NOT NULL GROUP BY obs_id)
+SELECT DISTINCT d.file_id FROM dict_obs d WHERE d.file_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own o WHERE o.file_id = d.file_id)
+"""
