@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import compaction, units
+from tidemill.operators import compaction, proximity, regrid, spikes, units
+from tidemill.operators.readings import distinct_readings, usable, with_known_time
 from tidemill.sources.tables import materialize, shared_dir, table
 
 QUERIES: dict = {}
@@ -19,6 +20,73 @@ def query(f):
     return f
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    r = units.observation_longitudes(t("obs"), t("dict_obs"), "sensor", "name_time", "name_lat", "name_var")
+    r = with_known_time(usable(r), t("sensor"))
+    lat = F.when(F.col("name_lat").between(-90, 90), F.col("name_lat"))
+    return regrid.regular_series(r.select("sensor", "name_time", "name_var", lat.alias("lat"), F.col("lon_east").alias("lon")))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _series(spark, sf_dir).filter("missing").select("sensor", "period_no")
+
+
+@query
+def p1_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular series of every sensor: value and position where there are readings, a mark where there are none."""
+    return _series(spark, sf_dir)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    r = with_known_time(units.observation_longitudes(t("obs"), t("dict_obs"), "sensor", "name_time", "name_lat"), t("sensor"))
+    return r.select(F.col("obs_id").alias("id"), F.col("sensor").alias("source"), F.col("name_time").alias("time"), F.col("name_lat").alias("lat"), F.col("lon_east").alias("lon"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proximity.near_pairs(_points(spark, sf_dir)).select(F.col("id_a").alias("obs_id_a"), F.col("id_b").alias("obs_id_b"))
+
+
+@query
+def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings by sensor within each box that the manifest's paths name."""
+    box = F.regexp_extract("obs_path", r"obs_(-?[0-9]+_-?[0-9]+_-?[0-9]+_-?[0-9]+)_", 1)
+    boxes = table(spark, sf_dir, "dict_obs").select(box.alias("region")).filter("region <> ''").distinct()
+    e = F.split("region", "_")
+    corner = lambda x, y: F.struct(e[x].cast("double").alias("lon"), e[y].cast("double").alias("lat"))
+    regions = boxes.withColumn("ring", F.array(corner(0, 2), corner(1, 2), corner(1, 3), corner(0, 3)))
+    points = _points(spark, sf_dir)
+    inside = proximity.containing_regions(points.withColumn("id", F.struct("id", "source")), regions)
+    return inside.groupBy("region", F.col("id.source").alias("sensor")).agg(F.count("*").alias("n"))
+
+
+def _implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    sensor = t("sensor")
+    limit = sensor.groupBy("sensor").agg(F.min(F.when(~F.isnan("varmax"), F.abs("varmax"))).alias("high"))
+    obs = with_known_time(distinct_readings(t("obs"), "obs_id", "sensor", "name_time", "name_var"), sensor, keep_unknown=True).join(limit, "sensor", "left")
+    obs = obs.select(F.concat(F.lit("obs:"), "sensor").alias("source"), F.col("obs_id").alias("rec_id"), F.col("name_time").alias("time"), F.col("name_var").alias("value"), (-F.col("high")).alias("low"), "high")
+    bc = distinct_readings(t("bc"), "bc_id", "node_id", "var_name", "name_time", "var")
+    sst = F.col("var_name") == "sst"
+    # sea water freezes near -2 and no sea is hotter than 45 degrees Celsius; sea level stays within 50 m
+    bc = bc.select(F.concat(F.lit("bc:"), "node_id").alias("source"), F.col("bc_id").alias("rec_id"), F.col("name_time").alias("time"), F.col("var").alias("value"), F.when(sst, -5.0).otherwise(-50.0).alias("low"), F.when(sst, 45.0).otherwise(50.0).alias("high"))
+    return spikes.implausible(obs.unionByName(bc))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implausible(spark, sf_dir).select(F.split("source", ":")[0].alias("tab"), "rec_id")
+
+
+@query
+def p3_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged readings of each source by kind."""
+    return _implausible(spark, sf_dir).groupBy("source").agg(*[F.count_if(c).alias(f"n_{c}") for c in ("spike", "stuck", "impossible")])
+
+
 def _compaction_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = materialize(compaction.owners(table(spark, sf_dir, "obs")), "owners")
     return compaction.plan(compaction.contributions(own, table(spark, sf_dir, "dict_obs")))
@@ -66,3 +134,11 @@ SQL["p4_found"] = """
 WITH own AS (SELECT obs_id, min(file_id) AS file_id FROM obs WHERE obs_id IS NOT NULL AND file_id IS NOT NULL GROUP BY obs_id)
 SELECT DISTINCT d.file_id FROM dict_obs d WHERE d.file_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own o WHERE o.file_id = d.file_id)
 """
+
+SQL["p1_found"] = """
+WITH r AS (SELECT DISTINCT ON (obs_id) obs_id, o.sensor, name_time FROM obs o JOIN sensor s ON s.sensor = o.sensor
+           WHERE obs_id IS NOT NULL AND name_var IS NOT NULL AND NOT isnan(name_var) AND name_time BETWEEN begin_time AND end_time),
+p AS (SELECT DISTINCT sensor, CAST(floor(epoch_us(name_time) / 1e6 / 10800) AS BIGINT) AS period_no FROM r),
+g AS (SELECT sensor, unnest(generate_series(min(period_no), max(period_no))) AS period_no FROM p GROUP BY sensor)
+SELECT sensor, period_no FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.sensor = g.sensor AND p.period_no = g.period_no)
+"""
