@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["problems", "rows", "joins"]
-FLAGSHIP = "p1_series"
+MODULES = ["problems", "rows", "joins", "diagnostics"]
+FLAGSHIP = "leaderboard_ose"
 
 
 def registry() -> tuple[dict, dict]:
