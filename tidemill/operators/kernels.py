@@ -1,0 +1,236 @@
+"""Grids, and numeric kernels that run one sub-window at a time.
+
+Spark cuts a field into tiles of a fixed number of cells, so that a group never grows with the data, and spreads the
+tiles over tasks; NumPy integrates each tile. Adjoints are written by hand and tested by dot products.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemill.functions.scalars import GRAVITY, M_PER_DEG, SIDEREAL_S
+
+KM_PER_DEG = 111.32
+
+
+def lonlat_grid(points: DataFrame, step: float) -> DataFrame:
+    """j, i, lon, lat of the regular grid over the extent of the points, built by Spark from one row."""
+    e = points.agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")).filter("w is not null")
+    count = lambda a, b: F.sequence(F.lit(0).cast("long"), F.floor((F.col(b) - F.col(a)) / step + 1e-9))
+    g = e.withColumn("j", F.explode(count("s", "n"))).withColumn("i", F.explode(count("w", "e")))
+    return g.select("j", "i", (F.col("w") + F.col("i") * step).alias("lon"), (F.col("s") + F.col("j") * step).alias("lat"))
+
+
+def km_grid(points: DataFrame, km: float) -> DataFrame:
+    """j, i, lon, lat of a grid of equal spacing in km over the extent of the points."""
+    e = points.agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")).filter("w is not null")
+    g = e.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - F.col("s")) * KM_PER_DEG / km + 1e-9))))
+    g = g.withColumn("lat", F.col("s") + F.col("j") * km / KM_PER_DEG).withColumn("per", KM_PER_DEG * F.cos(F.radians("lat")))
+    g = g.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("e") - F.col("w")) * F.col("per") / km + 1e-9))))
+    return g.select("j", "i", (F.col("w") + F.col("i") * km / F.col("per")).alias("lon"), "lat")
+
+
+def tiles(field: DataFrame, nj: int, ni: int, rows: int, cols: int) -> DataFrame:
+    """day, tj, ti, rows, cols, cells: one row per tile and day; cells has at most rows * cols structs (j, i, y) within the tile."""
+    cell = F.struct((F.col("j") % rows).alias("j"), (F.col("i") % cols).alias("i"), "y")
+    t = field.groupBy("day", F.floor(F.col("j") / rows).alias("tj"), F.floor(F.col("i") / cols).alias("ti")).agg(F.collect_list(cell).alias("cells"))
+    return t.select("day", "tj", "ti", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "cells")
+
+
+def run_tiles(tiles_: DataFrame, kernel: Callable, cell: float) -> DataFrame:
+    """day, j, i, value: the kernel's result for each cell of each tile; kernel(h, lat, cell) takes and gives a 2-D array."""
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
+                h = np.zeros((r.rows, r.cols))
+                for c in r.cells:
+                    h[c["j"], c["i"]] = c["y"]
+                lat = (r.tj * r.rows + np.arange(r.rows) + 0.5) * cell - 90
+                out = kernel(h, lat, cell)
+                j, i = np.divmod(np.arange(h.size), r.cols)
+                yield pd.DataFrame({"day": r.day, "j": r.tj * r.rows + j, "i": r.ti * r.cols + i, "value": out.ravel()})
+
+    return tiles_.mapInPandas(run, "day long, j long, i long, value double")
+
+
+def dst(x: np.ndarray, axis: int) -> np.ndarray:
+    """Sine transform of the first kind along an axis; its own inverse up to the factor 2 / (n + 1)."""
+    x = np.moveaxis(x, axis, -1)
+    n = x.shape[-1]
+    odd = np.zeros((*x.shape[:-1], 2 * n + 2))
+    odd[..., 1 : n + 1] = x
+    odd[..., n + 2 :] = -x[..., ::-1]
+    return np.moveaxis(-np.fft.rfft(odd)[..., 1 : n + 1].imag / 2, -1, axis)
+
+
+def solve_helmholtz(rhs: np.ndarray, dx: float, dy: float, k2: float) -> np.ndarray:
+    """psi with (laplacian - k2) psi = rhs on the five-point stencil and psi = 0 around the tile."""
+    n, m = rhs.shape
+    lam = (2 * np.cos(np.pi * np.arange(1, m + 1) / (m + 1)) - 2)[None, :] / dx**2 + (2 * np.cos(np.pi * np.arange(1, n + 1) / (n + 1)) - 2)[:, None] / dy**2
+    spec = dst(dst(rhs, 0), 1) / (lam - k2)
+    return dst(dst(spec, 0), 1) * 4 / ((n + 1) * (m + 1))
+
+
+def laplacian(p: np.ndarray, dx: float, dy: float) -> np.ndarray:
+    """Five-point Laplacian with 0 around the tile."""
+    q = np.pad(p, 1)
+    return (q[1:-1, 2:] - 2 * p + q[1:-1, :-2]) / dx**2 + (q[2:, 1:-1] - 2 * p + q[:-2, 1:-1]) / dy**2
+
+
+def _metrics(lat: np.ndarray, cell: float) -> tuple[float, float, float]:
+    mid = float(lat.mean())
+    f = 4 * math.pi / SIDEREAL_S * math.sin(math.radians(mid))
+    f = math.copysign(max(abs(f), 1e-5), mid)  # tiles at the equator are held off the singularity
+    return cell * M_PER_DEG * math.cos(math.radians(mid)), cell * M_PER_DEG, f
+
+
+def invert(h: np.ndarray, lat: np.ndarray, cell: float, c: float = 2.7) -> np.ndarray:
+    """Stream function of the potential vorticity of h; returns g / f * h again, as the inversion undoes the Laplacian."""
+    dx, dy, f = _metrics(lat, cell)
+    psi = GRAVITY / f * h
+    return solve_helmholtz(laplacian(psi, dx, dy) - (f / c) ** 2 * psi, dx, dy, (f / c) ** 2)
+
+
+def qg_day(h: np.ndarray, lat: np.ndarray, cell: float, c: float = 2.7, dt: float = 3600.0) -> np.ndarray:
+    """One-layer quasi-geostrophic motion over a day: upwind advection of potential vorticity, beta, Heun steps."""
+    dx, dy, f = _metrics(lat, cell)
+    beta = 4 * math.pi / SIDEREAL_S * math.cos(math.radians(float(lat.mean()))) / 6371000.0
+    k2 = (f / c) ** 2
+
+    def tendency(q: np.ndarray) -> np.ndarray:
+        psi = np.pad(solve_helmholtz(q, dx, dy, k2), 1)
+        u, v = -(psi[2:, 1:-1] - psi[:-2, 1:-1]) / (2 * dy), (psi[1:-1, 2:] - psi[1:-1, :-2]) / (2 * dx)
+        p = np.pad(q, 1, mode="edge")
+        qx = np.where(u > 0, q - p[1:-1, :-2], p[1:-1, 2:] - q) / dx
+        qy = np.where(v > 0, q - p[:-2, 1:-1], p[2:, 1:-1] - q) / dy
+        return -u * qx - v * qy - beta * v
+
+    q = laplacian(GRAVITY / f * h, dx, dy) - k2 * GRAVITY / f * h
+    for _ in range(round(86400 / dt)):
+        a = tendency(q)
+        q = q + dt / 2 * (a + tendency(q + dt * a))
+    return solve_helmholtz(q, dx, dy, k2) * f / GRAVITY
+
+
+def sw_hour(h: np.ndarray, lat: np.ndarray, cell: float, depth: float = 0.9) -> np.ndarray:
+    """Linear shallow water on a staggered grid with closed sides, forward-backward in steps within the wave limit."""
+    dx, dy, f = _metrics(lat, cell)
+    dt = min(600.0, 0.5 * min(dx, dy) / math.sqrt(GRAVITY * depth))
+    steps = max(1, round(3600 / dt))
+    dt = 3600 / steps
+    u, v = np.zeros((h.shape[0], h.shape[1] + 1)), np.zeros((h.shape[0] + 1, h.shape[1]))
+    for _ in range(steps):
+        h = h - dt * depth * (np.diff(u, axis=1) / dx + np.diff(v, axis=0) / dy)
+        vc, uc = (v[1:] + v[:-1]) / 2, (u[:, 1:] + u[:, :-1]) / 2
+        u[:, 1:-1] += dt * (f * (vc[:, 1:] + vc[:, :-1]) / 2 - GRAVITY * np.diff(h, axis=1) / dx)
+        v[1:-1] += dt * (-f * (uc[1:] + uc[:-1]) / 2 - GRAVITY * np.diff(h, axis=0) / dy)
+    return h
+
+
+def diffuse(x: np.ndarray, kappa: float = 0.15) -> np.ndarray:
+    """One explicit step without flux through the sides; linear and its own transpose."""
+    p = np.pad(x, 1, mode="edge")
+    return x + kappa * (p[1:-1, 2:] + p[1:-1, :-2] + p[2:, 1:-1] + p[:-2, 1:-1] - 4 * x)
+
+
+def diffuse_clamped(h: np.ndarray, lat: np.ndarray, cell: float) -> np.ndarray:
+    x = h
+    for _ in range(10):
+        x = np.maximum(diffuse(x) + 0.01 * h, 0.0)
+    return x
+
+
+def minimise(fun: Callable, x: np.ndarray, max_iter: int = 60, rtol: float = 1e-4, memory: int = 8) -> tuple[np.ndarray, float, int]:
+    """Limited-memory quasi-Newton descent; stops when the largest gradient has fallen by ``rtol``. Returns x, cost, iterations."""
+    j, g = fun(x)
+    g0, pairs = np.abs(g).max(), []
+    for it in range(max_iter):
+        if np.abs(g).max() <= rtol * g0:
+            return x, j, it
+        d, alphas = -g, []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            alphas.append(a)
+            d = d - a * y
+        if pairs:
+            s, y = pairs[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(alphas)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step, slope = 1.0, g @ d
+        while True:
+            xn = x + step * d
+            jn, gn = fun(xn)
+            if jn <= j + 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        s, y = xn - x, gn - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y)] if len(pairs) >= memory else [*pairs, (s, y)]
+        x, j, g = xn, jn, gn
+    return x, j, max_iter
+
+
+SIGMA_OBS, SIGMA_BACK, SMOOTH = 0.1, 0.3, 3
+
+
+def background_root(x: np.ndarray) -> np.ndarray:
+    """Square root of the background covariance: smoothing; its own transpose."""
+    for _ in range(SMOOTH):
+        x = diffuse(x)
+    return SIGMA_BACK * x
+
+
+def cost_and_gradient(xi: np.ndarray, obs: np.ndarray) -> tuple[float, np.ndarray]:
+    """Cost of a preconditioned control vector against obs (day, j, i; NaN where none), and its gradient.
+
+    Forward: root of the background, then one diffusion step a day, misfits on the way. Backward: the transposes in
+    reverse order, each day's weighted misfit added before it is carried to the day before.
+    """
+    shape = obs.shape[1:]
+    state, misfits, j = background_root(xi.reshape(shape)), [], 0.5 * float(xi @ xi)
+    for day, y in enumerate(obs):
+        if day:
+            state = diffuse(state)
+        m = np.where(np.isnan(y), 0.0, state - np.nan_to_num(y)) / SIGMA_OBS
+        misfits.append(m)
+        j += 0.5 * float((m * m).sum())
+    adj = np.zeros(shape)
+    for day in range(len(obs) - 1, -1, -1):
+        adj = adj + misfits[day] / SIGMA_OBS
+        if day:
+            adj = diffuse(adj)
+    return j, xi + background_root(adj).ravel()
+
+
+def assimilate(field: DataFrame, rows: int, cols: int, days: int) -> DataFrame:
+    """Variational analysis of each sub-window of rows x cols cells and ``days`` days, many in parallel.
+
+    ``field``: day, j, i, y, already averaged by cell and day, so a sub-window holds at most rows * cols * days values.
+    Returns window, tj, ti, n_obs, cost_before, cost_after, iterations, low, high.
+    """
+    cell = F.struct((F.col("day") % days).alias("d"), (F.col("j") % rows).alias("j"), (F.col("i") % cols).alias("i"), "y")
+    g = field.groupBy(F.floor(F.col("day") / days).alias("window"), F.floor(F.col("j") / rows).alias("tj"), F.floor(F.col("i") / cols).alias("ti")).agg(F.collect_list(cell).alias("cells"))
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                obs = np.full((days, rows, cols), np.nan)
+                for c in r.cells:
+                    obs[c["d"], c["j"], c["i"]] = c["y"]
+                zero = np.zeros(rows * cols)
+                before = cost_and_gradient(zero, obs)[0]
+                xi, after, it = minimise(lambda x: cost_and_gradient(x, obs), zero)
+                x = background_root(xi.reshape(rows, cols))
+                out.append((r.window, r.tj, r.ti, int(np.isfinite(obs).sum()), before, after, it, float(x.min()), float(x.max())))
+            yield pd.DataFrame(out, columns=["window", "tj", "ti", "n_obs", "cost_before", "cost_after", "iterations", "low", "high"])
+
+    return g.mapInPandas(run, "window long, tj long, ti long, n_obs long, cost_before double, cost_after double, iterations long, low double, high double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["problems", "rows", "joins", "diagnostics"]
+MODULES = ["problems", "rows", "joins", "diagnostics", "dynamics"]
 FLAGSHIP = "leaderboard_ose"
 
 
