@@ -1,8 +1,8 @@
 """Problem 2: points near other points, or within a region.
 
-Points are hashed to cells of latitude, longitude and time that are at least twice as wide as the radius, so one
-side stays in its own cell and the other is copied only into the cells its search box touches (about 1.5 per
-dimension). Candidates are then verified by exact great-circle distance. Only cells that hold another source's
+Points are hashed to cells of latitude, longitude and time that are ``SPREAD`` times as wide as the radius, so one
+side stays in its own cell and the other is copied only into the cells its search box touches (1 + 2 / SPREAD in each
+dimension, so about two cells). Candidates are then verified by exact great-circle distance. Only cells that hold another source's
 points take part, and the join key holds that source, so points of one dense source never meet each other.
 
 Defined results: points without latitude in -90..90, longitude, time, id or source are in no pair; a distance or a
@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.regrid import seconds
+from tidemill.sources.tables import materialize
 
 EARTH_KM = 6371.0
+SPREAD = 8  # cell width in radii: wider means fewer copies to shuffle, and more candidates to verify
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Haversine distance on a sphere of radius EARTH_KM; stable for near points."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def _cells_in_band(band: Column, size: float) -> Column:
@@ -37,13 +39,13 @@ def near_pairs(points: DataFrame, radius_km: float = 5.0, within_s: float = 1800
     """``points``: id, source, time, lat, lon in degrees. Returns id_a < id_b, km, s of all pairs of points of
     different sources at most ``radius_km`` and ``within_s`` apart. Each pair comes once."""
     r_deg = math.degrees(radius_km / EARTH_KM)
-    size, step = max(2 * r_deg, 0.02), max(2 * within_s, 1.0)
+    size, step = max(SPREAD * r_deg, 0.02), max(SPREAD * within_s, 1.0)
     bands, per_band = int(180 / size) + 2, int(360 / size) + 2
     pack = lambda t, b, x: (t * bands + b) * per_band + x
     p = points.filter("id is not null and source is not null and lat between -90 and 90 and lon is not null and not isnan(lon)").select(
         F.col("id").cast("long").alias("id"), "source", seconds(F.col("time")).alias("t"), "lat", F.pmod("lon", F.lit(360.0)).alias("lon")
     )
-    p = p.filter("t is not null")
+    p = materialize(p.filter("t is not null"), "points")  # read three times below
     band = F.floor((F.col("lat") + 90) / size)
     own = p.withColumn("band", band)
     own = own.withColumn("cell", pack(F.floor(F.col("t") / step), F.col("band"), F.floor(F.col("lon") / 360 * _cells_in_band(F.col("band"), size)))).drop("band")

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.tables import materialize
+
 # The spellings of units in lon_unit, attributes and lon_note.
 # (spelling, unit)
 ALIASES = [
@@ -109,6 +111,15 @@ def already_east(number: Column, unit: Column, west: Column) -> Column:
     return (plain | wrong_unit) & ~west & (number >= 0) & (number < 360)
 
 
+BROADCAST_ROWS = 1_000_000  # of about 32 bytes each; beyond, Spark joins by shuffle
+
+
+def _if_small(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, broadcast if its counted rows are few enough."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def manifest_units(manifest: DataFrame) -> DataFrame:
     """file_id, text_unit (struct or null), text_west for the manifest entries that tell something of the longitude."""
     clause = lon_clause(F.col("attributes"))
@@ -119,39 +130,56 @@ def manifest_units(manifest: DataFrame) -> DataFrame:
         .select("file_id", unit_token(F.col("c")).alias("t"), says_west(F.col("c")).alias("text_west"))
         .filter("t is not null or text_west")
     )
-    return with_unit(told, "t", "text_unit")
+    told = with_unit(told, "t", "text_unit")
+    return told.groupBy("file_id").agg(F.max(code(F.col("text_unit"))).alias("text_code"), F.max("text_west").alias("text_west"))
+
+
+def spelled_units(df: DataFrame, field: str) -> DataFrame:
+    """field, field_code, field_west for each distinct spelling of a unit field: expressions run once a spelling, not once a row."""
+    d = df.select(field).filter(F.col(field).isNotNull()).distinct()
+    d = d.select(field, unit_token(F.col(field)).alias("t"), says_west(F.col(field)).alias("field_west"))
+    return with_unit(d, "t", "u").select(field, code(F.col("u")).alias("field_code"), "field_west")
+
+
+CODES = {"deg": 1, "arcmin": 2, "rad": 3, "udeg": 4}  # 0: silent, 1: general, above: exact
+
+
+def code(unit: Column) -> Column:
+    """Number of a unit struct, 0 where it is null."""
+    return F.coalesce(*[F.when(unit["unit"] == u, c) for u, c in CODES.items()], F.lit(0))
+
+
+def unit_of(c: Column) -> Column:
+    """The unit struct of a number; null for 0."""
+    struct = lambda u: F.struct(F.lit(u).alias("unit"), F.lit(UNITS[u][0]).alias("factor"), F.lit(UNITS[u][1]).alias("most"))
+    return F.coalesce(*[F.when(c == n, struct(u)) for u, n in CODES.items()])
 
 
 def observation_longitudes(obs: DataFrame, manifest: DataFrame, *cols: str) -> DataFrame:
     """One row per obs_id: obs_id, name_lon, lon_east, bare_east, and the columns named.
 
-    Joined with the manifest on file_id (Spark chooses the join by size), then reduced to one row per reading
-    by a partial aggregate; where copies differ in what their files tell, the most exact telling wins.
+    The spellings of the unit field and the telling entries of the manifest are joined first (broadcast behind a
+    count, else by shuffle); then one partial aggregate reduces to one row per reading, the only shuffle of readings.
+    Where copies differ in what their files tell, the most exact telling wins.
     """
     rows = obs.filter(F.col("obs_id").isNotNull()).select("obs_id", "file_id", "name_lon", "lon_unit", *cols)
-    rows = rows.withColumn("_t", unit_token(F.col("lon_unit"))).withColumn("field_west", says_west(F.col("lon_unit")))
-    rows = with_unit(rows.drop("lon_unit"), "_t", "field_unit").join(manifest_units(manifest), "file_id", "left")
-    unit = more_exact(F.col("field_unit"), F.col("text_unit"))["unit"]
-    west = F.col("field_west") | F.coalesce(F.col("text_west"), F.lit(False))
-    # 0 silent, 1 general, 2 exact; the direction is told or not by itself
-    code = F.when(unit.isNull(), 0).when(unit == "deg", 1).when(unit == "arcmin", 2).when(unit == "rad", 3).otherwise(4)
+    rows = rows.join(_if_small(spelled_units(obs, "lon_unit"), "spellings"), "lon_unit", "left")
+    rows = rows.join(_if_small(manifest_units(manifest), "told"), "file_id", "left")
+    field, text = F.coalesce("field_code", F.lit(0)), F.coalesce("text_code", F.lit(0))
+    told = F.when((field <= 1) & (text > 0), text).otherwise(field)
+    west = F.coalesce("field_west", F.lit(False)) | F.coalesce("text_west", F.lit(False))
     one = rows.groupBy("obs_id").agg(
         F.any_value("name_lon").alias("name_lon"),
-        F.max(code).alias("_code"),
-        F.max(west.cast("int")).alias("_west"),
+        F.max(told).alias("_code"),
+        F.max(west).alias("_west"),
         *[F.any_value(c).alias(c) for c in cols],
     )
-    told = reduce(
-        lambda c, u: c.when(F.col("_code") == u[0], F.struct(F.lit(u[1]).alias("unit"), F.lit(UNITS[u[1]][0]).alias("factor"), F.lit(UNITS[u[1]][1]).alias("most"))),
-        [(2, "arcmin"), (3, "rad"), (4, "udeg")],
-        F.when(F.col("_code") == 1, F.struct(F.lit("deg").alias("unit"), F.lit(1.0).alias("factor"), F.lit(360.0).alias("most"))),
-    )
-    number, west = F.when(~F.isnan("name_lon"), F.col("name_lon")), F.col("_west") == 1
+    number, unit = F.when(~F.isnan("name_lon"), F.col("name_lon")), unit_of(F.col("_code"))
     return one.select(
         "obs_id",
         "name_lon",
-        degrees_east(number, told, west).alias("lon_east"),
-        already_east(number, told, west).alias("bare_east"),
+        degrees_east(number, unit, F.col("_west")).alias("lon_east"),
+        already_east(number, unit, F.col("_west")).alias("bare_east"),
         *cols,
     )
 
