@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import compaction, proximity, regrid, spikes, units
 from tidemill.operators.readings import distinct_readings, usable, with_known_time
+from tidemill.plans.base import LON_SQL
 from tidemill.sources.tables import materialize, shared_dir, table
 
 QUERIES: dict = {}
@@ -142,3 +143,26 @@ p AS (SELECT DISTINCT sensor, CAST(floor(epoch_us(name_time) / 1e6 / 10800) AS B
 g AS (SELECT sensor, unnest(generate_series(min(period_no), max(period_no))) AS period_no FROM p GROUP BY sensor)
 SELECT sensor, period_no FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.sensor = g.sensor AND p.period_no = g.period_no)
 """
+
+SQL["p2_found"] = f"""
+WITH {LON_SQL},
+p AS (SELECT o.obs_id, o.sensor, epoch_us(o.name_time) / 1e6 AS t, o.name_lat AS lat, lon.lon_east AS lon
+      FROM (SELECT DISTINCT ON (obs_id) * FROM obs WHERE obs_id IS NOT NULL) o JOIN sensor s ON s.sensor = o.sensor JOIN lon ON lon.obs_id = o.obs_id
+      WHERE o.name_time BETWEEN s.begin_time AND s.end_time AND o.name_lat BETWEEN -90 AND 90 AND lon.lon_east IS NOT NULL),
+a AS (SELECT *, floor(t / 1800) AS tb, floor(lat / 0.05) AS lb FROM p),
+b AS (SELECT obs_id, sensor, t, lat, lon, floor(t / 1800) + dt AS tb, floor(lat / 0.05) + dl AS lb FROM p, (VALUES (-1), (0), (1)) x(dt), (VALUES (-1), (0), (1)) y(dl))
+SELECT a.obs_id AS obs_id_a, b.obs_id AS obs_id_b FROM a JOIN b ON a.tb = b.tb AND a.lb = b.lb
+WHERE a.obs_id < b.obs_id AND a.sensor <> b.sensor AND abs(a.t - b.t) <= 1800
+  AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 5
+"""
+
+SQL["p3_found"] = """
+WITH r AS (SELECT 'obs' AS tab, o.sensor AS source, obs_id AS rec_id, CASE WHEN name_time BETWEEN begin_time AND end_time THEN name_time END AS t, name_var AS v
+           FROM (SELECT DISTINCT ON (obs_id) * FROM obs WHERE obs_id IS NOT NULL) o JOIN sensor s ON s.sensor = o.sensor WHERE name_var IS NOT NULL AND NOT isnan(name_var)
+           UNION ALL SELECT 'bc', CAST(node_id AS VARCHAR), bc_id, name_time, var FROM (SELECT DISTINCT ON (bc_id) * FROM bc WHERE bc_id IS NOT NULL) WHERE var IS NOT NULL AND NOT isnan(var)),
+q AS (SELECT tab, source, median(v) AS m, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 AS s FROM r GROUP BY ALL),
+g AS (SELECT tab, source, avg(v) AS m, stddev_pop(v) AS s FROM r JOIN q USING (tab, source) WHERE abs(v - q.m) <= 8 * q.s GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY tab, source ORDER BY t, rec_id) - row_number() OVER (PARTITION BY tab, source, v ORDER BY t, rec_id) AS run FROM r WHERE t IS NOT NULL),
+n AS (SELECT tab, rec_id, count(*) OVER (PARTITION BY tab, source, v, run) AS n FROM w)
+SELECT tab, rec_id FROM r JOIN g USING (tab, source) WHERE abs(v - m) > 8 * s UNION SELECT tab, rec_id FROM n WHERE n >= 6
+"""
