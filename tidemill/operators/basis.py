@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.scalars import cos2_window
+from tidemill.functions.scalars import cos2_window, gaspari_cohn
 
 KM_PER_DEG = 110.0
 
@@ -84,3 +84,16 @@ def spectral_laws(wave: DataFrame, longest_km: float, q_max: float, q_slope: flo
     """q and tdec of each wavelet's scale: a power of the wavelength below ``longest_km``, constant above, clamped."""
     rel = F.least(F.col("half") / longest_km, F.lit(1.0))
     return wave.withColumn("q", q_max * F.pow(rel, F.lit(q_slope))).withColumn("tdec", F.greatest(t_max * F.pow(rel, F.lit(t_slope)), F.lit(t_min)))
+
+
+def bumps(cells: DataFrame, step: float, support: float, cell_deg: float) -> DataFrame:
+    """pj, pi, j, i, w of the basis without directions: compact correlation functions of ``support`` degrees on a lattice of ``step``.
+
+    Each centre enumerates the cells of its box, so the join is on the cell.
+    """
+    c = cells.select(F.floor(F.col("lat") / step + 0.5).alias("pj"), F.floor(F.col("lon") / step + 0.5).alias("pi")).distinct()
+    span = lambda at, off: F.sequence(F.floor((at * step - support + off) / cell_deg), F.floor((at * step + support + off) / cell_deg))
+    c = c.withColumn("j", F.explode(span(F.col("pj"), 90.0))).withColumn("i", F.explode(span(F.col("pi"), 0.0)))
+    b = c.join(cells.select("j", "i", "lat", "lon"), ["j", "i"])
+    y, x = F.col("lat") - F.col("pj") * step, F.col("lon") - F.col("pi") * step
+    return b.filter((F.abs(x) < support) & (F.abs(y) < support)).select("pj", "pi", "j", "i", (gaspari_cohn(x, support) * gaspari_cohn(y, support)).alias("w"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["problems", "rows", "joins", "diagnostics", "dynamics", "streams"]
+MODULES = ["problems", "rows", "joins", "diagnostics", "dynamics", "streams", "extras"]
 FLAGSHIP = "leaderboard_ose"
 
 
