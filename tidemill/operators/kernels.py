@@ -40,7 +40,12 @@ def tiles(field: DataFrame, nj: int, ni: int, rows: int, cols: int) -> DataFrame
     """day, tj, ti, rows, cols, cells: one row per tile and day; cells has at most rows * cols structs (j, i, y) within the tile."""
     cell = F.struct((F.col("j") % rows).alias("j"), (F.col("i") % cols).alias("i"), "y")
     t = field.groupBy("day", F.floor(F.col("j") / rows).alias("tj"), F.floor(F.col("i") / cols).alias("ti")).agg(F.collect_list(cell).alias("cells"))
-    return t.select("day", "tj", "ti", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "cells")
+    return _spread(t.select("day", "tj", "ti", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "cells"))
+
+
+def _spread(groups: DataFrame) -> DataFrame:
+    """Groups are few bytes and much work: a given number of partitions keeps adaptive execution from merging them by size."""
+    return groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def run_tiles(tiles_: DataFrame, kernel: Callable, cell: float) -> DataFrame:
@@ -218,6 +223,7 @@ def assimilate(field: DataFrame, rows: int, cols: int, days: int) -> DataFrame:
     """
     cell = F.struct((F.col("day") % days).alias("d"), (F.col("j") % rows).alias("j"), (F.col("i") % cols).alias("i"), "y")
     g = field.groupBy(F.floor(F.col("day") / days).alias("window"), F.floor(F.col("j") / rows).alias("tj"), F.floor(F.col("i") / cols).alias("ti")).agg(F.collect_list(cell).alias("cells"))
+    g = _spread(g)
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

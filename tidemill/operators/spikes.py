@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.blocks import ranked, with_halo
 from tidemill.operators.regrid import seconds
-from tidemill.sources.tables import given, materialize
+from tidemill.sources.tables import broadcast_if_small, given, materialize
 
 BLOCK = 20000
 HALO = 64
@@ -45,8 +45,9 @@ def behaviour(values: DataFrame) -> DataFrame:
     # a source mostly stuck has no middle spread; the outer quantiles stand in
     rough = F.greatest((F.col("q")[3] - F.col("q")[1]) / 1.349, (F.col("q")[4] - F.col("q")[0]) / 2.563 / 2)
     q = q.select("source", F.col("q")[2].alias("centre"), rough.alias("spread"))
+    # one row a source; a source with a third of the rows would skew a shuffle join
     moments = (
-        values.join(q, "source")
+        values.join(broadcast_if_small(q, "quantiles"), "source")
         .filter(F.abs(F.col("value") - F.col("centre")) <= LIMIT_SD * F.col("spread"))
         .groupBy("source")
         .agg(F.any_value("centre").alias("centre"), F.any_value("spread").alias("spread"), F.avg("value").alias("good_mean"), F.stddev_pop("value").alias("good_sd"))
@@ -100,12 +101,12 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
 def implausible(readings: DataFrame, block: int = BLOCK, halo: int = HALO) -> DataFrame:
     """``readings``: source, rec_id, time (null if unknown), value, low, high (physical limits, may be null).
 
-    Returns source, rec_id, value, innovation (standardised), spike, stuck, impossible; one row for each flagged one.
+    Rows without source or rec_id are no readings and are left out. Returns source, rec_id, value, innovation (standardised), spike, stuck, impossible; one row for each flagged one.
     """
     assert halo >= RUN - 1
     base = readings.filter(F.col("source").isNotNull() & F.col("rec_id").isNotNull() & given(F.col("value")))
     base = materialize(base.select("source", "rec_id", seconds(F.col("time")).alias("t"), "value", "low", "high"), "readings")
-    normal = materialize(behaviour(base), "behaviour")
+    normal = broadcast_if_small(behaviour(base), "behaviour")
     timed = ranked(base.filter("t is not null").select("source", "rec_id", "t", "value"), ["source"], F.floor(F.col("t") / BIN_S), ["t", "rec_id"])
     cut = with_halo(timed, block, halo).join(normal.select("source", "centre", "spread"), "source")
     flagged = cut.groupBy("source", "block").applyInPandas(_block, "source string, rec_id long, value double, z double, stuck boolean")

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.sources.tables import materialize
+from tidemill.sources.tables import broadcast_if_small
 
 # The spellings of units in lon_unit, attributes and lon_note.
 # (spelling, unit)
@@ -111,15 +111,6 @@ def already_east(number: Column, unit: Column, west: Column) -> Column:
     return (plain | wrong_unit) & ~west & (number >= 0) & (number < 360)
 
 
-BROADCAST_ROWS = 1_000_000  # of about 32 bytes each; beyond, Spark joins by shuffle
-
-
-def _if_small(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, broadcast if its counted rows are few enough."""
-    df = materialize(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def manifest_units(manifest: DataFrame) -> DataFrame:
     """file_id, text_unit (struct or null), text_west for the manifest entries that tell something of the longitude."""
     clause = lon_clause(F.col("attributes"))
@@ -163,8 +154,8 @@ def observation_longitudes(obs: DataFrame, manifest: DataFrame, *cols: str) -> D
     Where copies differ in what their files tell, the most exact telling wins.
     """
     rows = obs.filter(F.col("obs_id").isNotNull()).select("obs_id", "file_id", "name_lon", "lon_unit", *cols)
-    rows = rows.join(_if_small(spelled_units(obs, "lon_unit"), "spellings"), "lon_unit", "left")
-    rows = rows.join(_if_small(manifest_units(manifest), "told"), "file_id", "left")
+    rows = rows.join(broadcast_if_small(spelled_units(obs, "lon_unit"), "spellings"), "lon_unit", "left")
+    rows = rows.join(broadcast_if_small(manifest_units(manifest), "told"), "file_id", "left")
     field, text = F.coalesce("field_code", F.lit(0)), F.coalesce("text_code", F.lit(0))
     told = F.when((field <= 1) & (text > 0), text).otherwise(field)
     west = F.coalesce("field_west", F.lit(False)) | F.coalesce("text_west", F.lit(False))

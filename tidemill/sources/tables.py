@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_left: list[str] = []  # paths of tables written by materialize
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,10 +36,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, name: str = "small", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, of narrow rows, as a table in the shared folder; broadcast only if its counted rows are at most ``rows``.
+
+    Beyond that Spark joins by shuffle, where adaptive execution splits skewed partitions.
+    """
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this session's operators left in the shared folder; call it once results are written.
+
+    Returns how many there were. DataFrames made before and not yet written can't be read any more.
+    """
+    jvm, n = spark._jvm, 0
+    while _left:
+        path = jvm.org.apache.hadoop.fs.Path(_left.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def given(c) -> F.Column:
     """A value is given if it is neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c)
