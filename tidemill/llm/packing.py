@@ -97,5 +97,6 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, per_bucket: int
     n = rest.count()
     buckets = max(1, -(-n // per_bucket))
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.lit(buckets)))
-    small = rest.groupBy("bucket").applyInPandas(_bucket(capacity), "doc_id long, piece_no long, n_tokens long, container long")
+    # a given number of partitions: buckets are few bytes and much work, so they must not be merged by size
+    small = rest.repartition(min(buckets, 10000), "bucket").groupBy("bucket").applyInPandas(_bucket(capacity), "doc_id long, piece_no long, n_tokens long, container long")
     return big.unionByName(small)
