@@ -94,11 +94,12 @@ def degrees_east(number: Column, unit: Column, west: Column) -> Column:
     """Apply factor and offset. If no unit is told, or the number cannot be a longitude in it, the number's
     size decides between degrees and an integer scaled by a million."""
     size = F.abs(number)
+    east = F.when(west & unit.isNull(), -number).otherwise(number)  # a direction told without a unit still holds
     told = unit.isNotNull() & (size <= unit["most"] * 1.0001)
     deg = (
         F.when(told, F.when(west, -number).otherwise(number) * unit["factor"])
-        .when(size <= 360, F.when(west & unit.isNull(), -number).otherwise(number))
-        .when(size <= 360e6 * 1.0001, number * 1e-6)
+        .when(size <= 360, east)
+        .when(size <= 360e6 * 1.0001, east * 1e-6)
     )
     wrapped = F.pmod(deg, F.lit(360.0))
     return F.when(wrapped >= 360, 0.0).otherwise(wrapped)

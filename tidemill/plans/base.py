@@ -88,7 +88,7 @@ od AS (SELECT obs_id, n, u, w, u > 0 AND abs(n) <= CASE u WHEN 1 THEN 360.0 WHEN
 oe AS (SELECT obs_id, n, u, w, fits, CASE
          WHEN fits THEN (CASE WHEN w THEN -n ELSE n END) * CASE u WHEN 1 THEN 1.0 WHEN 2 THEN 1 / 60.0 WHEN 3 THEN 57.29577951308232 ELSE 1e-6 END
          WHEN abs(n) <= 360 THEN CASE WHEN w AND u = 0 THEN -n ELSE n END
-         WHEN abs(n) <= 360e6 * 1.0001 THEN n * 1e-6 END AS d FROM od),
+         WHEN abs(n) <= 360e6 * 1.0001 THEN CASE WHEN w AND u = 0 THEN -n ELSE n END * 1e-6 END AS d FROM od),
 lon AS (SELECT obs_id, CASE WHEN d - 360 * floor(d / 360) >= 360 THEN 0.0 ELSE d - 360 * floor(d / 360) END AS lon_east,
                (u <= 1 OR NOT fits) AND NOT w AND n >= 0 AND n < 360 AS bare_east FROM oe)"""
 
