@@ -97,3 +97,9 @@ def test_plane_fit_recovers_the_plane(spark):
     df = spark.createDataFrame([("s", float(x), float(y), 2.0 * x - y + 7) for x in range(5) for y in range(4)] + [("flat", 1.0, 1.0, 1.0)], "k string, x double, y double, z double")
     got = {r.k: r for r in stats.plane_fit(df, ["k"], "x", "y", "z").collect()}
     assert (got["s"].a, got["s"].b, got["s"].c) == pytest.approx((2, -1, 7)) and got["flat"].a is None
+
+
+def test_shallow_water_adjoint():
+    x, y = RNG.standard_normal((2, 9, 11))
+    lat = np.linspace(-40, -30, 9)
+    assert (kernels.sw_hour(x, lat, 0.2) * y).sum() == pytest.approx((x * kernels.sw_adjoint(y, lat, 0.2)).sum(), rel=1e-10)

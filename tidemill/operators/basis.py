@@ -97,3 +97,30 @@ def bumps(cells: DataFrame, step: float, support: float, cell_deg: float) -> Dat
     b = c.join(cells.select("j", "i", "lat", "lon"), ["j", "i"])
     y, x = F.col("lat") - F.col("pj") * step, F.col("lon") - F.col("pi") * step
     return b.filter((F.abs(x) < support) & (F.abs(y) < support)).select("pj", "pi", "j", "i", (gaspari_cohn(x, support) * gaspari_cohn(y, support)).alias("w"))
+
+
+def gt_ladder(days: DataFrame, decays: list[float]) -> DataFrame:
+    """ift, it, day, wt: the time factor for each decay of a ladder, for bases that are ladders in space and in time."""
+    d = days.select("day", F.explode(F.array(*[F.struct(F.lit(n).alias("ift"), F.lit(float(x)).alias("decay")) for n, x in enumerate(decays)])).alias("s")).select("day", "s.*")
+    n = F.floor(F.col("day") / F.col("decay"))
+    d = d.withColumn("it", F.explode(F.sequence(n, n + 1)))
+    return d.select("ift", "it", "day", cos2_window((F.col("day") - F.col("it") * F.col("decay")) / F.col("decay")).alias("wt"))
+
+
+def local_spread(cells: DataFrame, spread: str, step: float, cell_deg: float) -> DataFrame:
+    """pj, pi, std, q: mean of an auxiliary map over each centre's box of ``step`` degrees, for bases whose variance varies in space.
+
+    A centre without a value gets the vanishing variance 1e-10, so that it takes no part.
+    """
+    near = bumps(cells, step, step, cell_deg).join(cells.select("j", "i", spread), ["j", "i"])
+    out = near.groupBy("pj", "pi").agg(F.avg(spread).alias("std"))
+    return out.withColumn("q", F.coalesce(F.col("std") ** 2, F.lit(1e-10)))
+
+
+def boundary_amplitudes(rim: DataFrame, times: str, step: float, sigma: float, decay: float) -> DataFrame:
+    """p, it, w: Gaussian weights, in space along a rim of boundary nodes and in time, of the centres near each node and time."""
+    p = F.explode(F.sequence(F.floor(F.col("lon") / step) - 1, F.floor(F.col("lon") / step) + 2))
+    it = F.explode(F.sequence(F.floor(F.col(times) / decay), F.floor(F.col(times) / decay) + 1))
+    r = rim.withColumn("p", p).withColumn("it", it)
+    space, time = (F.col("lon") - F.col("p") * step) / sigma, (F.col(times) - F.col("it") * decay) / decay
+    return r.withColumn("w", F.exp(-(space**2) / 2) * F.exp(-(time**2) / 2))

@@ -240,3 +240,69 @@ def assimilate(field: DataFrame, rows: int, cols: int, days: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["window", "tj", "ti", "n_obs", "cost_before", "cost_after", "iterations", "low", "high"])
 
     return g.mapInPandas(run, "window long, tj long, ti long, n_obs long, cost_before double, cost_after double, iterations long, low double, high double")
+
+
+def sw_adjoint(h: np.ndarray, lat: np.ndarray, cell: float, depth: float = 0.9) -> np.ndarray:
+    """Transpose of sw_hour with respect to the height it starts from: its steps transposed, in reverse order."""
+    dx, dy, f = _metrics(lat, cell)
+    dt = min(600.0, 0.5 * min(dx, dy) / math.sqrt(GRAVITY * depth))
+    steps = max(1, round(3600 / dt))
+    dt = 3600 / steps
+    u, v = np.zeros((h.shape[0], h.shape[1] + 1)), np.zeros((h.shape[0] + 1, h.shape[1]))
+    h = h.copy()
+    for _ in range(steps):
+        # v took from h and from the u before it changed, and u from the v before it changed
+        inner = u[:, 1:-1].copy()
+        a = -GRAVITY * dt / dy * v[1:-1]
+        h[1:] += a
+        h[:-1] -= a
+        b = -f * dt / 4 * v[1:-1]
+        for rows in (slice(1, None), slice(None, -1)):
+            u[rows, 1:] += b
+            u[rows, :-1] += b
+        a = -GRAVITY * dt / dx * inner
+        h[:, 1:] += a
+        h[:, :-1] -= a
+        b = f * dt / 4 * inner
+        for cols in (slice(1, None), slice(None, -1)):
+            v[1:, cols] += b
+            v[:-1, cols] += b
+        # h took from the flux between the faces
+        g = -dt * depth * h
+        u[:, 1:] += g / dx
+        u[:, :-1] -= g / dx
+        v[1:] += g / dy
+        v[:-1] -= g / dy
+    return h
+
+
+def forward_days(h: np.ndarray, lat: np.ndarray, cell: float, days: int = 5) -> np.ndarray:
+    """The variational model run forward from a map, without assimilation."""
+    for _ in range(days):
+        h = diffuse(h)
+    return h
+
+
+def check_tiles(tiles_: DataFrame, cell: float) -> DataFrame:
+    """day, tj, ti, adjoint, tangent: how far the hand-written transpose and linearity are off on each tile, relative.
+
+    adjoint: |<M x, y> - <x, M' y>| with y the mirrored tile; tangent: ||M(x + e d) - M(x) - e M d|| / ||e M d||.
+    """
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                x = np.zeros((r.rows, r.cols))
+                for c in r.cells:
+                    x[c["j"], c["i"]] = c["y"]
+                y = x[::-1, ::-1] + 0.1
+                lat = (r.tj * r.rows + np.arange(r.rows) + 0.5) * cell - 90
+                mx, my = sw_hour(x, lat, cell), sw_hour(y, lat, cell)
+                size = np.linalg.norm(mx) * np.linalg.norm(y) + 1e-30
+                adjoint = abs((mx * y).sum() - (x * sw_adjoint(y, lat, cell)).sum()) / size
+                tangent = np.linalg.norm(sw_hour(x + 1e-3 * y, lat, cell) - mx - 1e-3 * my) / (1e-3 * np.linalg.norm(my) + 1e-30)
+                out.append((r.day, r.tj, r.ti, float(adjoint), float(tangent)))
+            yield pd.DataFrame(out, columns=["day", "tj", "ti", "adjoint", "tangent"])
+
+    return tiles_.mapInPandas(run, "day long, tj long, ti long, adjoint double, tangent double")
