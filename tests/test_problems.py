@@ -129,6 +129,29 @@ def test_compaction_is_whole_and_idempotent(spark, tmp_path):
     assert sorted(data()) == sorted({o[0] for o in obs + more_o})
 
 
+def test_operators_on_empty_tables_and_clashing_names(spark, tmp_path):
+    o, m = _frames(spark, [], [])
+    assert compaction.compact(spark, o, m, f"file://{tmp_path}/empty").count() == 0
+    o, m = _frames(spark, [(1, 10, "s", at(0)), (1, 11, "s", at(0))], [(10, "s", at(0), None), (11, "s", at(0), None)])
+    from pyspark.sql import functions as F
+
+    clash = o.withColumns({c: F.lit(7) for c in ("output_id", "n_kept", "now", "run", "span", "level", "txn_id")})
+    compaction.compact(spark, clash, m.withColumns({c: F.lit(7) for c in ("output_id", "n_kept", "slot", "small")}), f"file://{tmp_path}/clash")
+    assert [(r.obs_id, r.output_id) for r in spark.read.parquet(f"{tmp_path}/clash/data/*").collect()] == [(1, 10)]
+    points = spark.createDataFrame([], "id long, source string, time timestamp_ntz, lat double, lon double, cell long, band long")
+    assert proximity.near_pairs(points).count() == 0
+    regions = spark.createDataFrame([], "region string, ring array<struct<lon: double, lat: double>>")
+    assert proximity.containing_regions(points, regions).count() == 0
+    rows = [("a", at(60 * k), 1.0 + k % 3, 1.0, 2.0) for k in range(9)]
+    series = spark.createDataFrame(rows, "sensor string, name_time timestamp_ntz, name_var double, lat double, lon double")
+    plain, clash = regrid.regular_series(series), regrid.regular_series(series.withColumns({c: F.lit("x") for c in ("u", "w", "own", "period_no", "t", "px")}))
+    assert plain.collect() == clash.collect()
+    r = _readings(spark, [("s", k, at(60 * k), 50.0 if k == 20 else float(k % 5)) for k in range(60)])
+    assert [x.rec_id for x in spikes.implausible(r.withColumns({c: F.lit("x") for c in ("t", "rank", "block", "centre", "spread", "stuck", "z")})).collect()] == [20]
+    near = proximity.near_pairs(spark.createDataFrame([(1, "a", at(0), 0.0, 0.0, 1, 1), (2, "b", at(0), 0.0, 0.01, 2, 2)], points.schema))
+    assert [(x.id_a, x.id_b) for x in near.collect()] == [(1, 2)]
+
+
 def test_compaction_journal(spark):
     obs = [(1, 10, "s", at(0)), (1, 11, "s", at(0)), (2, 12, "s", at(0)), (None, 13, "s", at(0)), (3, None, "s", at(0)), (4, 99, None, None)]
     man = [(10, "s", at(0), None), (11, "s", at(0), 5), (12, None, None, None), (13, "s", at(0), None), (14, "s", at(0), 7), (None, "s", at(0), 1), (14, "s", at(0), 7)]

@@ -91,7 +91,8 @@ def compact(spark: SparkSession, obs: DataFrame, manifest: DataFrame, out_dir: s
     Idempotent: the journal is keyed by transaction id, a hash of level and inputs. Data goes to a folder named by
     the plan and counts only when the journal lists it, so a run that died half way is repeated from the start of
     its folder, and a run over inputs that the journal already covers writes nothing. Entries new since the last run
-    form a plan of their own; readings that an earlier run wrote are not written again. Returns the journal.
+    form a plan of their own; readings that an earlier run wrote are not written again. Rows keep all their columns and
+    get output_id; a column of that name in the input is replaced. Returns the journal.
     """
     own = owners(obs)
     read = lambda p: spark.read.parquet(p) if _exists(spark, p) else None
@@ -111,7 +112,7 @@ def compact(spark: SparkSession, obs: DataFrame, manifest: DataFrame, out_dir: s
     adds = contrib.filter("n_kept > 0").select(F.lit(0).alias("level"), F.lit("take").alias("action"), F.concat(F.lit("0-take-"), "file_id").alias("txn_id"), F.lit(None).cast("long").alias("output_id"), "file_id", F.col("n_kept").alias("n_rows"))
     journal = materialize(journal.unionByName(adds), "journal")
     run_id = "run-" + journal.agg(F.format_string("%016x", F.bit_xor(F.xxhash64("txn_id", "file_id")))).first()[0]
-    rows = obs.join(own, ["obs_id", "file_id"], "left_semi").dropDuplicates(["obs_id"]).join(placement, "file_id")
+    rows = obs.drop("output_id").join(own, ["obs_id", "file_id"], "left_semi").dropDuplicates(["obs_id"]).join(placement, "file_id")
     # a file's rows are together, and a task writes many outputs in order
     rows.repartition("output_id").sortWithinPartitions("output_id", "name_time").write.mode("overwrite").option("maxRecordsPerFile", target_rows).parquet(f"{data_path}/{run_id}")
     journal.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(journal_path)
