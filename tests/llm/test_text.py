@@ -115,6 +115,13 @@ def test_levels_of_odd_input(spark):
     assert reading_level.estimate_levels(docs.filter("doc_id < 0"), labels).collect() == []
 
 
+def test_speech_of_very_long_texts(spark):
+    texts = ["[" * 200_000, "<i>word</i> " * 50_000, "a" * 500_000, "[never closed\n" + "word " * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n for r in reading_level.edges(docs).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    assert got == {1: 50_000, 2: 1, 3: 1002}
+
+
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_queries_run(spark, name):
     assert llm.QUERIES[name](spark, DATA).count() > 0

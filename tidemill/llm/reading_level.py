@@ -27,9 +27,10 @@ from tidemill.sources.tables import materialize, shared_dir
 ITERATIONS = 4
 MIN_WORDS = 8
 BROADCAST_WORDS = 1_000_000  # 16 bytes each; with more words Spark joins by shuffle
+# Brackets hold at most 300 characters, so that one left open costs no second look at the whole text.
 # What is not speech: tags and positions, sounds in brackets or stars, songs, cue times and numbers, adverts, entities.
 _NOT_SPEECH = (
-    r"(?i)<[^>]*>|\{[^}]*\}|\[[^\]]*\]|\([^)]*\)|\*[^*\n]*\*|♪[^♪\n]*♪?|&[a-z]+;"
+    r"(?i)<[^>]{0,300}>|\{[^}]{0,300}\}|\[[^\]]{0,300}\]|\([^)]{0,300}\)|\*[^*\n]{0,300}\*|♪[^♪\n]*♪?|&[a-z]{2,8};"
     r"|(?m:^[^\n]*(?:webvtt|-->|\.invalid|@[a-z]+\.|==|subtitle|untertitel|sous-titr|subt[ií]tul|translated|traduc|traduit|übersetz)[^\n]*$)|(?m:^\s*[0-9]+\s*$)|(?-i)(?m:^-?\s*\p{Lu}{2,}:)"
 )
 
