@@ -69,13 +69,41 @@ _TOKEN = r"(millionths of a degree|scale_factor=1e-0?6|microdegrees?|1e-6|10\^-6
 
 def _unit(s: str) -> str:
     tok = f"regexp_extract(lower(trim(coalesce({s}, ''))), '{_TOKEN}', 1)"
-    return f"(CASE WHEN {tok} LIKE 'rad%' THEN 3 WHEN {tok} LIKE 'arc%' OR {tok} LIKE 'min%' THEN 2 WHEN {tok} LIKE 'deg%' THEN 1 WHEN {tok} <> '' THEN 4 WHEN trim(coalesce({s}, '')) LIKE '''%' THEN 2 ELSE 0 END)"
+    return f"(CASE WHEN {tok} LIKE 'rad%' THEN 3 WHEN {tok} LIKE 'arc%' OR {tok} LIKE 'min%' THEN 2 WHEN {tok} LIKE 'deg%' THEN 1 WHEN {tok} <> '' THEN 4 WHEN regexp_matches(trim(coalesce({s}, '')), '^''|[0-9]\\s*''$') THEN 2 ELSE 0 END)"
 
 
 def _west(s: str) -> str:
-    return rf"regexp_matches(replace(lower(coalesce({s}, '')), 'negative west', ''), '(west|deg ?w\b)')"
+    return rf"""regexp_matches(replace(lower(coalesce({s}, '')), 'negative west', ''), '(west|deg ?w\b|[0-9°''"m ]w\s*$)')"""
 
 
+def _deg(n: str, u: str, w: str) -> tuple[str, str]:
+    """SQL of the converted longitude and of whether the number already is one, from number, unit code and direction."""
+    most = f"(CASE {u} WHEN 1 THEN 360.0 WHEN 2 THEN 21600.0 WHEN 3 THEN 6.2832 ELSE 360e6 END * 1.0001)"
+    factor = f"(CASE {u} WHEN 1 THEN 1.0 WHEN 2 THEN 1 / 60.0 WHEN 3 THEN 57.29577951308232 ELSE 1e-6 END)"
+    fits, east = f"({u} > 0 AND abs({n}) <= {most})", f"(CASE WHEN {w} AND {u} = 0 THEN -{n} ELSE {n} END)"
+    d = f"(CASE WHEN {fits} THEN (CASE WHEN {w} THEN -{n} ELSE {n} END) * {factor} WHEN abs({n}) <= 360 THEN {east} WHEN abs({n}) <= 360e6 * 1.0001 THEN {east} * 1e-6 END)"
+    return f"(CASE WHEN {d} - 360 * floor({d} / 360) >= 360 THEN 0.0 ELSE {d} - 360 * floor({d} / 360) END)", f"(({u} <= 1 OR NOT {fits}) AND NOT {w} AND {n} >= 0 AND {n} < 360)"
+
+
+def _both(a: str, b: str) -> str:
+    """Unit code of a field and a text read together."""
+    return f"(CASE WHEN {a} <= 1 AND {b} > 0 THEN {b} ELSE {a} END)"
+
+
+_N = r"[0-9]+(?:[.,][0-9]+)?"
+_SEX = rf"""^([+-]?{_N})(?:\s*[°d:]\s*({_N})?|\s+({_N}))\s*[''m:]?\s*({_N})?\s*"?\s*([ew])?$"""
+_num = lambda g: f"coalesce(TRY_CAST(nullif(replace(regexp_extract(low, '{_SEX}', {g}), ',', '.'), '') AS DOUBLE), 0)"
+# diag_ref and diag_bas: ref_id or bas_id, lon_east, bare_east
+DIAG_SQL = rf"""
+rx AS (SELECT ref_id, lower(trim(name_ref_lon)) AS low, lon_note FROM diag_ref WHERE ref_id IS NOT NULL AND regexp_matches(name_ref_lon, '[0-9]')),
+ry AS (SELECT *, regexp_matches(low, '{_SEX}') AND regexp_matches(low, '[°d:]|[0-9]\s+[0-9]') AS sex FROM rx),
+rz AS (SELECT ref_id, CASE WHEN sex THEN (CASE WHEN low LIKE '-%' THEN -1 ELSE 1 END) * (abs({_num(1)}) + ({_num(2)} + {_num(3)}) / 60 + {_num(4)} / 3600)
+         ELSE TRY_CAST(replace(regexp_extract(low, '([+-]?[0-9]+(?:[.,][0-9]+)?(?:e[+-]?[0-9]+)?)', 1), ',', '.') AS DOUBLE) END AS n,
+       {_both(f"(CASE WHEN sex THEN 1 ELSE {_unit("regexp_replace(low, '[0-9]e-?[0-9]+', '0')")} END)", _unit("lon_note"))} AS u, {_west("low")} OR {_west("lon_note")} AS w, regexp_matches(low, '^[+-]?[0-9]+(\.[0-9]+)?$') AS bare FROM ry),
+dr AS (SELECT ref_id, max({_deg("n", "u", "w")[0]}) AS lon_east, bool_and(bare AND {_deg("n", "u", "w")[1]}) AS bare_east FROM rz GROUP BY ref_id),
+bx AS (SELECT bas_id, CASE WHEN NOT isnan(name_bas_lon) THEN name_bas_lon END AS n, {_both(_unit("lon_unit"), _unit("lon_note"))} AS u, {_west("lon_unit")} OR {_west("lon_note")} AS w FROM diag_bas WHERE bas_id IS NOT NULL),
+db AS (SELECT bas_id, max({_deg("n", "u", "w")[0]}) AS lon_east, bool_and({_deg("n", "u", "w")[1]}) AS bare_east FROM bx GROUP BY bas_id)"""
+
 # the readings in SQL, as a prefix of WITH
 LON_SQL = rf"""
 mu AS (SELECT file_id, max({_unit("c")}) AS tu, bool_or({_west("c")}) AS tw
@@ -84,13 +112,7 @@ ol AS (SELECT obs_id, any_value(CASE WHEN NOT isnan(name_lon) THEN name_lon END)
               max(CASE WHEN {_unit("lon_unit")} <= 1 AND coalesce(tu, 0) > 0 THEN tu ELSE {_unit("lon_unit")} END) AS u,
               bool_or({_west("lon_unit")} OR coalesce(tw, false)) AS w
        FROM obs LEFT JOIN mu USING (file_id) WHERE obs_id IS NOT NULL GROUP BY obs_id),
-od AS (SELECT obs_id, n, u, w, u > 0 AND abs(n) <= CASE u WHEN 1 THEN 360.0 WHEN 2 THEN 21600.0 WHEN 3 THEN 6.2832 ELSE 360e6 END * 1.0001 AS fits FROM ol),
-oe AS (SELECT obs_id, n, u, w, fits, CASE
-         WHEN fits THEN (CASE WHEN w THEN -n ELSE n END) * CASE u WHEN 1 THEN 1.0 WHEN 2 THEN 1 / 60.0 WHEN 3 THEN 57.29577951308232 ELSE 1e-6 END
-         WHEN abs(n) <= 360 THEN CASE WHEN w AND u = 0 THEN -n ELSE n END
-         WHEN abs(n) <= 360e6 * 1.0001 THEN CASE WHEN w AND u = 0 THEN -n ELSE n END * 1e-6 END AS d FROM od),
-lon AS (SELECT obs_id, CASE WHEN d - 360 * floor(d / 360) >= 360 THEN 0.0 ELSE d - 360 * floor(d / 360) END AS lon_east,
-               (u <= 1 OR NOT fits) AND NOT w AND n >= 0 AND n < 360 AS bare_east FROM oe)"""
+lon AS (SELECT obs_id, {_deg("n", "u", "w")[0]} AS lon_east, {_deg("n", "u", "w")[1]} AS bare_east FROM ol)"""
 
 R_SQL = f"""
 WITH {LON_SQL},

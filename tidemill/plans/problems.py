@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import compaction, proximity, regrid, spikes, units
 from tidemill.operators.readings import distinct_readings, usable, with_known_time
-from tidemill.plans.base import LON_SQL
+from tidemill.plans.base import DIAG_SQL, LON_SQL
 from tidemill.sources.tables import materialize, shared_dir, table
 
 QUERIES: dict = {}
@@ -166,3 +166,9 @@ w AS (SELECT *, row_number() OVER (PARTITION BY tab, source ORDER BY t, rec_id)
 n AS (SELECT tab, rec_id, count(*) OVER (PARTITION BY tab, source, v, run) AS n FROM w)
 SELECT tab, rec_id FROM r JOIN g USING (tab, source) WHERE abs(v - m) > 8 * s UNION SELECT tab, rec_id FROM n WHERE n >= 6
 """
+
+_P5 = f"""WITH {LON_SQL}, {DIAG_SQL},
+c AS (SELECT 'obs' AS tab, obs_id AS rec_id, lon_east, bare_east FROM lon UNION ALL SELECT 'diag_ref', ref_id, lon_east, bare_east FROM dr UNION ALL SELECT 'diag_bas', bas_id, lon_east, bare_east FROM db)"""
+
+SQL["p5_found"] = f"{_P5} SELECT tab, rec_id, CAST(floor(lon_east) AS INTEGER) AS lon_deg FROM c WHERE lon_east IS NOT NULL AND NOT coalesce(bare_east, false)"
+SQL["p5_profile"] = f"{_P5} SELECT tab, CAST(floor(lon_east / 10) * 10 AS INTEGER) AS band, count(*) AS n, count(*) FILTER (NOT coalesce(bare_east, false)) AS n_converted FROM c WHERE lon_east IS NOT NULL GROUP BY ALL"
