@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.sources.tables import materialize
+from tidemill.sources.tables import broadcast_if_small, materialize
 
 FANOUT = 8  # growth of the size limit, and of the time span, from one tier to the next
 FIRST_ROWS = 64  # rows up to which a file belongs to tier 0
@@ -94,25 +94,29 @@ def compact(spark: SparkSession, obs: DataFrame, manifest: DataFrame, out_dir: s
     form a plan of their own; readings that an earlier run wrote are not written again. Rows keep all their columns and
     get output_id; a column of that name in the input is replaced. Returns the journal.
     """
-    own = owners(obs)
+    obs = obs.filter("obs_id is not null and file_id is not null")
     read = lambda p: spark.read.parquet(p) if _exists(spark, p) else None
     journal_path, data_path = f"{out_dir}/journal", f"{out_dir}/data"
     done = read(journal_path)
     if done is not None:
         seen = done.filter("level = 0").select("file_id").distinct()
         manifest = manifest.join(seen, "file_id", "left_anti")
+        if manifest.filter("file_id is not null").isEmpty():
+            return done
         runs = [r.run_id for r in done.select("run_id").distinct().collect()]  # one per run of the job
         written = spark.read.parquet(*[f"{data_path}/{r}" for r in runs if _exists(spark, f"{data_path}/{r}")]).select("obs_id").distinct()
-        own = own.join(seen, "file_id", "left_anti").join(written, "obs_id", "left_anti")
-        if manifest.isEmpty():
-            return done
+        obs = obs.join(seen, "file_id", "left_anti").join(written, "obs_id", "left_anti")
+    own = owners(obs)
     own = materialize(own, "owners")
     contrib = contributions(own, manifest)
     journal, placement = plan(contrib, target_rows)
     adds = contrib.filter("n_kept > 0").select(F.lit(0).alias("level"), F.lit("take").alias("action"), F.concat(F.lit("0-take-"), "file_id").alias("txn_id"), F.lit(None).cast("long").alias("output_id"), "file_id", F.col("n_kept").alias("n_rows"))
     journal = materialize(journal.unionByName(adds), "journal")
     run_id = "run-" + journal.agg(F.format_string("%016x", F.bit_xor(F.xxhash64("txn_id", "file_id")))).first()[0]
-    rows = obs.drop("output_id").join(own, ["obs_id", "file_id"], "left_semi").dropDuplicates(["obs_id"]).join(placement, "file_id")
+    # the copy of each reading in its first file: readings are shuffled here, and once more to their outputs
+    content = F.struct(*[c for c in obs.columns if c not in ("obs_id", "output_id")])
+    rows = obs.groupBy("obs_id").agg(F.min_by(content, "file_id").alias("_c")).select("obs_id", "_c.*")
+    rows = rows.join(broadcast_if_small(placement, "placement"), "file_id")
     # a file's rows are together, and a task writes many outputs in order
     rows.repartition("output_id").sortWithinPartitions("output_id", "name_time").write.mode("overwrite").option("maxRecordsPerFile", target_rows).parquet(f"{data_path}/{run_id}")
     journal.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(journal_path)

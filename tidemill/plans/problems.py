@@ -112,7 +112,8 @@ def p4_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
     compaction.compact(spark, table(spark, sf_dir, "obs"), table(spark, sf_dir, "dict_obs"), out)
     back = spark.read.parquet(f"{out}/data/*")
-    return back.groupBy("sensor").agg(F.count("*").alias("n_readings"), F.count_distinct("obs_id").alias("n_distinct"), F.count_distinct("output_id").alias("n_outputs"))
+    per_file = back.groupBy("sensor", "output_id").agg(F.count("*").alias("n"))
+    return per_file.groupBy("sensor").agg(F.sum("n").alias("n_readings"), F.count("*").alias("n_outputs"), F.max("n").alias("most"))
 
 
 @query
