@@ -107,7 +107,7 @@ def test_levels_on_held_out_ratings(spark):
 
 
 def test_levels_of_odd_input(spark):
-    docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "[music]\n<i></i>", "a"), (4, "plain words that nobody rated at all here now", "a"), (None, "x " * 20, "a"), (5, "hard terms of the moot axiom are here again and again", "a")], "doc_id long, text string, n string")
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "[music]\n<i></i>", "a"), (4, "plain words that nobody rated at all here now " * 3, "a"), (None, "x " * 20, "a"), (5, "hard terms of the moot axiom are here again and again " * 2, "a"), (6, "too few words to be prose at all", "a")], "doc_id long, text string, n string")
     labels = spark.createDataFrame([(5, 5, "r"), (5, 4, "r"), (5, None, "r"), (None, 3, "r"), (99, 1, "r")], "doc_id long, read_level int, rater string")
     got = {r.doc_id: r.level for r in reading_level.estimate_levels(docs, labels).collect()}
     assert set(got) == {4, 5} and all(v is not None for v in got.values())

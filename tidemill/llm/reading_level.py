@@ -8,7 +8,7 @@ use, in any language, and reaches texts that share no word with a graded one thr
 
 The edges are one table bucketed by document, so that both halves of an iteration read it without a shuffle of
 edges; what is shuffled is one partial row for each word and task. Averaging draws estimates towards the middle, so
-they are put back on the scale of the grades by a line fitted over all graded documents.
+they are put back on the scale of the grades by a monotone map fitted over all graded documents.
 
 Defined results: repeated ratings of a document are averaged, null ones ignored; without any rating no level is
 estimated (null). Documents with fewer than MIN_WORDS spoken words (null, empty, sounds, adverts, calls) get no
@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from tidemill.sources.tables import materialize, shared_dir
 
 ITERATIONS = 4
-MIN_WORDS = 8
+MIN_WORDS = 18  # a few calls, sounds and adverts are no prose
+BINS = 20
 BROADCAST_WORDS = 1_000_000  # 16 bytes each; with more words Spark joins by shuffle
-# Brackets hold at most 300 characters, so that one left open costs no second look at the whole text.
+# Brackets hold at most 300 characters and adverts are lines of at most about 250, so that one left open, or a text in
+# a single line, costs no second look at the whole text and loses no speech.
 # What is not speech: tags and positions, sounds in brackets or stars, songs, cue times and numbers, adverts, entities.
 _NOT_SPEECH = (
     r"(?i)<[^>]{0,300}>|\{[^}]{0,300}\}|\[[^\]]{0,300}\]|\([^)]{0,300}\)|\*[^*\n]{0,300}\*|♪[^♪\n]*♪?|&[a-z]{2,8};"
-    r"|(?m:^[^\n]*(?:webvtt|-->|\.invalid|@[a-z]+\.|==|subtitle|untertitel|sous-titr|subt[ií]tul|translated|traduc|traduit|übersetz)[^\n]*$)|(?m:^\s*[0-9]+\s*$)|(?-i)(?m:^-?\s*\p{Lu}{2,}:)"
+    r"|(?m:^[^\n]{0,120}(?:webvtt|-->|www\.|https?:|[a-z0-9]\.(?:invalid|example|com|net|org)|==|subtitle|untertitel|sous-titr|subt[ií]tul|translated|traduc|traduit|übersetz)[^\n]{0,120}$)|(?m:^\s*[0-9]+\s*$)|(?-i)(?m:^-?\s*\p{Lu}{2,}:)"
 )
 
 
@@ -79,9 +81,33 @@ def estimate_levels(documents: DataFrame, labels: DataFrame, iterations: int = I
         if i == 0:
             few = words.count() <= BROADCAST_WORDS
     out = materialize(_documents(graph, words, few), "levels")
-    fit = out.join(graded, "doc_id").agg(F.regr_slope("grade", "free").alias("a"), F.regr_intercept("grade", "free").alias("b"), F.avg("grade").alias("m")).first()
-    a, b = (0.0, fit.m if fit.m is not None else middle) if fit.a is None else (fit.a, fit.b)
-    return out.filter(F.col("n_words") >= min_words).select("doc_id", "n_words", (F.lit(a) * F.col("free") + F.lit(b)).alias("level"))
+    knots = calibration(out.join(graded, "doc_id"))
+    return out.filter(F.col("n_words") >= min_words).select("doc_id", "n_words", (on_scale(F.col("free"), knots) if knots else F.lit(middle)).alias("level"))
+
+
+def calibration(graded: DataFrame, bins: int = BINS) -> list[tuple[float, float]]:
+    """Knots (estimate, grade) of a monotone map from estimates ``free`` to grades, fitted over all graded documents.
+
+    Spark averages grades and estimates in ``bins`` quantile bins; of those few rows, neighbours that fall are pooled.
+    """
+    cuts = graded.agg(F.percentile_approx("free", [k / bins for k in range(1, bins)], 10000)).first()[0] or []
+    bin_ = sum((F.when(F.col("free") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    means = graded.groupBy(bin_.alias("b")).agg(F.avg("free").alias("x"), F.avg("grade").alias("y"), F.count("*").alias("n"))
+    pools: list[list] = []  # mean grade, weight, estimates
+    for r in means.orderBy("b").collect():  # at most ``bins`` rows
+        pools.append([r.y, r.n, [r.x]])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            (y1, n1, x1), (y2, n2, x2) = pools[-2:]
+            pools[-2:] = [[(y1 * n1 + y2 * n2) / (n1 + n2), n1 + n2, x1 + x2]]
+    return [(x, y) for y, _, xs in pools for x in xs]
+
+
+def on_scale(free: Column, knots: list[tuple[float, float]]) -> Column:
+    """Linear interpolation between the knots, held constant beyond the first and the last; null stays null."""
+    out = F.when(free <= knots[0][0], knots[0][1])
+    for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
+        out = out.when(free <= x1, y0 + (free - x0) * ((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0))
+    return out.when(free > knots[-1][0], knots[-1][1])
 
 
 def _documents(graph: DataFrame, words: DataFrame, few: bool) -> DataFrame:
