@@ -73,7 +73,7 @@ def land_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(land, "node_id", "left_anti").groupBy("node_id").agg(F.count("*").alias("n"), F.count("v").alias("n_given"))
 
 
-@query(f"{R_SQL} SELECT to_timestamp(floor((ts + 10800) / 21600) * 21600)::TIMESTAMP AS window_ts, sensor, count(*) AS n, count(v) AS n_given FROM r GROUP BY ALL")
+@query(f"{R_SQL} SELECT make_timestamp(CAST(floor((ts + 10800) / 21600) * 21600000000 AS BIGINT)) AS window_ts, sensor, count(*) AS n, count(v) AS n_given FROM r GROUP BY ALL")
 def obs_window_halfopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = windows.assign_windows(readings(spark, sf_dir), 21600)
     return r.groupBy("window_ts", "sensor").agg(F.count("*").alias("n"), F.count("v").alias("n_given"))
