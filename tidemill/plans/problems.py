@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import compaction, proximity, regrid, spikes, units
 from tidemill.operators.readings import distinct_readings, usable, with_known_time
-from tidemill.plans.base import DIAG_SQL, LON_SQL
+from tidemill.plans.base import DIAG_SQL, LON_SQL, q6, r6
 from tidemill.sources.tables import materialize, shared_dir, table
 
 QUERIES: dict = {}
@@ -123,6 +123,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.filter(~F.coalesce("bare_east", F.lit(False))).select("tab", "rec_id", F.floor("lon_east").cast("int").alias("lon_deg"))
 
 
+@query
+def p5_longitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a longitude in degrees east, to a hundred-thousandth."""
+    t = lambda n: table(spark, sf_dir, n)
+    all_ = units.converted_records(t("obs"), t("dict_obs"), t("diag_ref"), t("diag_bas"))
+    return all_.select("tab", "rec_id", r6("lon_east", 1e5).alias("lon_east"))
+
+
 @query
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and converted records by table and 10-degree band."""
@@ -173,3 +181,4 @@ c AS (SELECT 'obs' AS tab, obs_id AS rec_id, lon_east, bare_east FROM lon UNION
 
 SQL["p5_found"] = f"{_P5} SELECT tab, rec_id, CAST(floor(lon_east) AS INTEGER) AS lon_deg FROM c WHERE lon_east IS NOT NULL AND NOT coalesce(bare_east, false)"
 SQL["p5_profile"] = f"{_P5} SELECT tab, CAST(floor(lon_east / 10) * 10 AS INTEGER) AS band, count(*) AS n, count(*) FILTER (NOT coalesce(bare_east, false)) AS n_converted FROM c WHERE lon_east IS NOT NULL GROUP BY ALL"
+SQL["p5_longitudes"] = f"{_P5} SELECT tab, rec_id, {q6('lon_east', '1e5')} AS lon_east FROM c WHERE lon_east IS NOT NULL"
