@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sources.tables import materialize
+
 PERIOD_S = 10800
 BANDWIDTH_S = 16200.0  # the kernel is 0 from here on
 
@@ -60,6 +62,7 @@ def regular_series(readings: DataFrame, period_s: int = PERIOD_S, bandwidth_s: f
     moments = near.groupBy("sensor", "period_no").agg(F.count_if(F.col("own") == F.col("period_no")).alias("n_readings"), F.sum(F.col("w") * F.col("w")).alias("ww"), *sums)
     for axis in ("px", "py", "pz"):
         moments = moments.withColumns({f"{axis}_w{k}": F.col(f"p_w{k}") for k in range(3)})
+    moments = materialize(moments, "moments")  # a row per source and period, read twice
     span = moments.filter("n_readings > 0").groupBy("sensor").agg(F.min("period_no").alias("a"), F.max("period_no").alias("b"))
     grid = span.select("sensor", F.explode(F.sequence("a", "b")).alias("period_no"))
     out = grid.join(moments, ["sensor", "period_no"], "left")
