@@ -103,3 +103,23 @@ def test_shallow_water_adjoint():
     x, y = RNG.standard_normal((2, 9, 11))
     lat = np.linspace(-40, -30, 9)
     assert (kernels.sw_hour(x, lat, 0.2) * y).sum() == pytest.approx((x * kernels.sw_adjoint(y, lat, 0.2)).sum(), rel=1e-10)
+
+
+def test_half_a_step_keeps_every_reading(spark):
+    df = spark.createDataFrame([(1, 900.0), (2, 1250.0), (3, 1349.0), (4, 1350.0), (5, 1351.0)], "obs_id long, ts double")
+    got = {r.obs_id: (r.step, r.lag_s) for r in windows.nearest_step(df, 900.0, 0.0, 450.0).collect()}
+    assert got == {1: (1, 0.0), 2: (1, 350.0), 3: (1, 449.0), 4: (1, 450.0), 5: (2, -449.0)}
+
+
+@pytest.mark.parametrize("name", ["asof_half_step", "checkpoint_half_step"])
+def test_steps_beyond_300_s_are_kept(spark, name):
+    from compare import DATA
+
+    from tidemill import plans
+
+    q = plans.registry()[0]
+    narrow = {"asof_half_step": "asof_nearest_step", "checkpoint_half_step": "checkpoint_schedule"}[name]
+    got, less = q[name](spark, DATA), q[narrow](spark, DATA)
+    assert got.join(less, got.columns, "left_semi").count() == less.count() < got.count()
+    if name == "asof_half_step":
+        assert got.count() == plans.joins.readings(spark, DATA).count()

@@ -202,16 +202,25 @@ def basis_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("pj", "pi").agg(F.count("*").alias("n"), r6(F.sum("w"), 1e4).alias("mass"))
 
 
-@query(f"{R_SQL}, x AS (SELECT floor(min(ts) / 900) AS a, floor(max(ts) / 900) AS z FROM r) SELECT CAST(step AS BIGINT) AS step FROM (SELECT ceil(ts / 900 - 0.5) AS step FROM r WHERE abs(ts - ceil(ts / 900 - 0.5) * 900) <= 300 UNION SELECT unnest(generate_series(CAST(ceil(a / 96) * 96 AS BIGINT), CAST(z AS BIGINT), 96)) FROM x)")
-def checkpoint_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model steps at which the state is kept: those with readings, and one a day."""
-    r = readings(spark, sf_dir)
-    seen = windows.nearest_step(r, 900.0, 0.0, 300.0).select("step")
+def _kept_steps(r: DataFrame, tolerance: float) -> DataFrame:
+    seen = windows.nearest_step(r, 900.0, 0.0, tolerance).select("step")
     x = r.agg(F.floor(F.min("ts") / 900).alias("a"), F.floor(F.max("ts") / 900).alias("z"))
     daily = x.select(F.explode(F.sequence((F.ceil(F.col("a") / 96) * 96).cast("long"), F.col("z"), F.lit(96).cast("long"))).alias("step"))
     return seen.union(daily).distinct()
 
 
+@query(f"{R_SQL}, x AS (SELECT floor(min(ts) / 900) AS a, floor(max(ts) / 900) AS z FROM r) SELECT CAST(step AS BIGINT) AS step FROM (SELECT ceil(ts / 900 - 0.5) AS step FROM r WHERE abs(ts - ceil(ts / 900 - 0.5) * 900) <= 300 UNION SELECT unnest(generate_series(CAST(ceil(a / 96) * 96 AS BIGINT), CAST(z AS BIGINT), 96)) FROM x)")
+def checkpoint_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model steps at which the state is kept: those with readings, and one a day."""
+    return _kept_steps(readings(spark, sf_dir), 300.0)
+
+
+@query(f"{R_SQL}, x AS (SELECT floor(min(ts) / 900) AS a, floor(max(ts) / 900) AS z FROM r) SELECT CAST(step AS BIGINT) AS step FROM (SELECT ceil(ts / 900 - 0.5) AS step FROM r WHERE abs(ts - ceil(ts / 900 - 0.5) * 900) <= 450 UNION SELECT unnest(generate_series(CAST(ceil(a / 96) * 96 AS BIGINT), CAST(z AS BIGINT), 96)) FROM x)")
+def checkpoint_half_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model steps at which the state is kept: those with readings within dt / 2, which are all, and one a day."""
+    return _kept_steps(readings(spark, sf_dir), 450.0)
+
+
 @query(f"""{H_SQL}, a AS (SELECT 'point' AS op_id, obs_id AS row_id, coalesce(sum(w * val) - any_value(v), 0) AS m FROM h GROUP BY obs_id),
 t AS (SELECT 'map' AS op_id, cell_id AS row_id, sum(w * v) / sum(w) - any_value(val) AS m FROM h WHERE v IS NOT NULL GROUP BY cell_id) SELECT op_id, row_id, {q6('m')} AS m FROM (SELECT * FROM a UNION ALL SELECT * FROM t)""")
 def multi_operator(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,15 @@ def asof_nearest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.nearest_step(readings(spark, sf_dir), 900.0, 0.0, 300.0).select("obs_id", "step", r6("lag_s", 1e3).alias("lag_s"))
 
 
+STEP_S = 900.0
+
+
+@query(f"{R_SQL} SELECT obs_id, CAST(ceil(ts / 900 - 0.5) AS BIGINT) AS step, {q6('ts - ceil(ts / 900 - 0.5) * 900', '1e3')} AS lag_s FROM r WHERE abs(ts - ceil(ts / 900 - 0.5) * 900) <= 450")
+def asof_half_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest step within dt / 2, the reference's tolerance, so that every reading has one; asof_nearest_step keeps 300 s."""
+    return windows.nearest_step(readings(spark, sf_dir), STEP_S, 0.0, STEP_S / 2).select("obs_id", "step", r6("lag_s", 1e3).alias("lag_s"))
+
+
 _NEAR = f"{H_SQL}, t1 AS (SELECT obs_id, ts, cell_id AS node_id FROM h), bs AS (SELECT * FROM b WHERE var_name = 'ssh' AND v IS NOT NULL)"
 
 
