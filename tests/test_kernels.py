@@ -123,3 +123,12 @@ def test_steps_beyond_300_s_are_kept(spark, name):
     assert got.join(less, got.columns, "left_semi").count() == less.count() < got.count()
     if name == "asof_half_step":
         assert got.count() == plans.joins.readings(spark, DATA).count()
+
+
+def test_nearest_sample_at_any_distance(spark):
+    times = {"a": [0.0, 100.0, 110.0, 50000.0], "b": [7e5], "c": []}
+    s = spark.createDataFrame([(k, t, t + 1) for k in times for t in times[k]] + [("a", 120.0, None), ("a", 100.0, 900.0)], "k string, ts double, v double")
+    at = [-1e6, -5.0, 50.0, 51.0, 105.0, 106.0, 25000.0, 25055.0, 25056.0, 49999.0, 3e5, 7e5, 1e7]
+    got = sorted((r.k, r.ts, r.near_t, r.near_v) for r in windows.nearest_sample(spark.createDataFrame([(k, t) for k in times for t in at], "k string, ts double"), s, ["k"], "ts", "ts", "v", 600.0).collect())
+    want = [(k, t, n, n + 1) for k in "ab" for t in at for n in [min(times[k], key=lambda x: (abs(x - t), x))]]
+    assert got == sorted(want)

@@ -45,6 +45,28 @@ def nearest_rows(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt:
     return j.groupBy(*keys).agg(best).select(*keys, F.col("m._rt").alias("near_t"), F.col("m._v").alias("near_v"))
 
 
+def nearest_sample(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt: str, value: str, width: float) -> DataFrame:
+    """For each left row the right row of the same key that is nearest in time, however far, the earlier on ties.
+
+    Each sample owns the times nearer to it than to the samples before and after it, and is copied to the buckets of
+    ``width`` seconds that these touch; a left row meets one sample, by equi-join on key and bucket. The first and the
+    last sample of a key reach to the ends of all samples' buckets, into which left rows beyond them are clamped. Of
+    samples of one key and time the smallest value holds. Left rows whose key has no value are left out.
+    """
+    by = W.partitionBy(*on).orderBy("_rt")
+    s = right.filter(F.col(value).isNotNull()).groupBy(*on, F.col(rt).alias("_rt")).agg(F.min(value).alias("_v"))
+    s = s.withColumns({"_p": F.lag("_rt").over(by), "_n": F.lead("_rt").over(by)})
+    ends = right.filter(F.col(value).isNotNull()).agg(F.floor(F.min(rt) / width).alias("_b0"), F.floor(F.max(rt) / width).alias("_b1"))
+    low = F.coalesce(F.floor((F.col("_p") + F.col("_rt")) / (2 * width)), F.col("_b0"))
+    high = F.coalesce(F.floor((F.col("_rt") + F.col("_n")) / (2 * width)), F.col("_b1"))
+    r_ = s.join(F.broadcast(ends)).withColumn("_b", F.explode(F.sequence(low, high))).drop("_b0", "_b1")  # one row
+    l_ = left.join(F.broadcast(ends)).withColumn("_b", F.least(F.greatest(F.floor(F.col(lt) / width), F.col("_b0")), F.col("_b1")))
+    d = F.abs(F.col(lt) - F.col("_rt"))
+    after = F.col("_p").isNull() | (d < F.abs(F.col(lt) - F.col("_p")))
+    before = F.col("_n").isNull() | (d <= F.abs(F.col("_n") - F.col(lt)))
+    return l_.join(r_, [*on, "_b"]).filter(after & before).select(*left.columns, F.col("_rt").alias("near_t"), F.col("_v").alias("near_v"))
+
+
 def lerp_in_time(targets: DataFrame, samples: DataFrame, on: list[str], value: str) -> DataFrame:
     """Linear interpolation of ``value`` (samples: on, ts, value) at the targets' (on, ts); held constant outside.
 

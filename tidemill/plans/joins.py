@@ -116,6 +116,14 @@ def bc_nearest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("obs_id", "node_id", "near_t", r6("near_v").alias("near_v"))
 
 
+@query(f"""{_NEAR} SELECT obs_id, node_id, near_t, {q6('near_v')} AS near_v FROM (SELECT obs_id, t1.node_id, bs.ts AS near_t, bs.v AS near_v, row_number() OVER (PARTITION BY obs_id, t1.node_id ORDER BY abs(bs.ts - t1.ts), bs.ts, bs.v) AS rk
+FROM t1 JOIN bs ON bs.node_id = t1.node_id) WHERE rk = 1""")
+def bc_nearest_any_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest boundary value however far in time, as the reference takes it; bc_nearest_time keeps 10,800 s."""
+    near = windows.nearest_sample(_targets(spark, sf_dir), _samples(spark, sf_dir), ["node_id"], "ts", "ts", "v", 21600.0)
+    return near.select("obs_id", "node_id", "near_t", r6("near_v").alias("near_v"))
+
+
 def _lerp_sql(shift: int) -> str:
     return f"""{_NEAR}, t2 AS (SELECT DISTINCT node_id, ts - {shift} AS ts FROM t1),
 lo AS (SELECT t2.node_id, t2.ts, max(bs.ts) AS t0 FROM t2 JOIN bs ON bs.node_id = t2.node_id AND bs.ts <= t2.ts GROUP BY ALL),
