@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import basis, kernels, segments, spatial, stats, windows
+from tidemill.operators import basis, fill, kernels, segments, spatial, stats, windows
 
 RNG = np.random.default_rng(5)
 
@@ -132,3 +132,21 @@ def test_nearest_sample_at_any_distance(spark):
     got = sorted((r.k, r.ts, r.near_t, r.near_v) for r in windows.nearest_sample(spark.createDataFrame([(k, t) for k in times for t in at], "k string, ts double"), s, ["k"], "ts", "ts", "v", 600.0).collect())
     want = [(k, t, n, n + 1) for k in "ab" for t in at for n in [min(times[k], key=lambda x: (abs(x - t), x))]]
     assert got == sorted(want)
+
+
+def test_holes_see_the_other_side_of_seams_and_old_tile_edges(spark):
+    given = {(18, 11): 1.0, (18, 13): 3.0, (17, 12): 1.0, (19, 12): 3.0, (18, 71): 5.0, (18, 1): 7.0, (17, 0): 5.0, (19, 0): 7.0}
+    daily = spark.createDataFrame([(1, j, i, v) for (j, i), v in given.items()], "day long, j long, i long, y double")
+    got = {(r.j, r.i): (r.value, r.filled) for r in fill.on_globe(kernels.tiles(daily, 36, 72, 36, 72)).collect()}
+    assert len(got) == 36 * 72 and all(got[k] == (v, False) for k, v in given.items())
+    assert got[18, 12] == (pytest.approx(2.0), True) and got[18, 0] == (pytest.approx(6.0), True)
+
+
+def test_filled_map_is_settled_and_diffusion_crosses_the_seam():
+    h = np.where(RNG.random((36, 72)) < 0.03, RNG.standard_normal((36, 72)), np.nan)
+    x = fill.settle(h)
+    rest = fill._neighbours(x) / 4 - x
+    assert np.abs(rest[np.isnan(h)]).max() < 1e-8 and (x[~np.isnan(h)] == h[~np.isnan(h)]).all()
+    y = fill.diffused(x, 5)
+    assert y.sum() == pytest.approx(x.sum())
+    assert np.allclose(fill.diffused(np.roll(x, 7, axis=1), 5), np.roll(y, 7, axis=1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,22 +81,60 @@ def _dense(r) -> np.ndarray:
     return h
 
 
-def relax(tiles: DataFrame, sweeps: int) -> DataFrame:
-    """day, j, i, value, filled: missing cells take the mean of their neighbours, again and again; values given stay."""
+def _around(x: np.ndarray) -> np.ndarray:
+    """A ring around a map of the globe: the other side of the seam in longitude, no flux at the poles."""
+    return np.pad(np.pad(x, ((0, 0), (1, 1)), mode="wrap"), ((1, 1), (0, 0)), mode="edge")
+
+
+def _neighbours(x: np.ndarray) -> np.ndarray:
+    p = _around(x)
+    return p[1:-1, 2:] + p[1:-1, :-2] + p[2:, 1:-1] + p[:-2, 1:-1]
+
+
+def settle(h: np.ndarray, rtol: float = 1e-10) -> np.ndarray:
+    """A map of the globe, an even number of columns wide, whose holes (NaN) are the mean of their neighbours; values given stay.
+
+    Over-relaxation by the colours of a chessboard, which converges for any holes beside at least one value; it goes on
+    until no cell moves by more than ``rtol`` of the largest value.
+    """
+    hole = np.isnan(h)
+    x = np.where(hole, np.nanmean(h), h)
+    black = np.add.outer(*map(np.arange, h.shape)) % 2 == 0
+    rows = np.arange(h.shape[0])[:, None]
+    own = (rows == 0).astype(float) + (rows == h.shape[0] - 1)  # sides at the poles, where the ring repeats the cell
+    omega, limit = 2 / (1 + np.sin(np.pi / max(h.shape))), rtol * max(float(np.nanmax(np.abs(h))), 1e-12)
+    moved = np.inf if hole.any() else 0.0
+    while moved > limit:
+        moved = 0.0
+        for colour in (black, ~black):
+            step = np.where(hole & colour, omega * ((_neighbours(x) - own * x) / (4 - own) - x), 0.0)
+            x = x + step
+            moved = max(moved, float(np.abs(step).max()))
+    return x
+
+
+def diffused(h: np.ndarray, steps: int, kappa: float = 0.15, forcing: float = 0.0, low: float = -np.inf) -> np.ndarray:
+    """Explicit steps of diffusion on a map of the globe, each adding ``forcing`` of the first map and held above ``low``."""
+    x = h
+    for _ in range(steps):
+        x = np.maximum(x + kappa * (_neighbours(x) - 4 * x) + forcing * h, low)
+    return x
+
+
+def on_globe(maps: DataFrame, kernel: Callable = lambda h: h) -> DataFrame:
+    """day, j, i, value, filled: kernel(h) of each day's map of the whole globe, its missing cells filled by ``settle`` first.
+
+    ``maps``: tiles as large as the globe, so no cell lies on a tile's rim. A map has as many cells as the grid, whatever the input.
+    """
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
                 h = _dense(r)
-                hole = np.isnan(h)
-                x = np.where(hole, np.nanmean(h), h)
-                for _ in range(sweeps):
-                    p = np.pad(x, 1, mode="edge")
-                    x = np.where(hole, (p[1:-1, 2:] + p[1:-1, :-2] + p[2:, 1:-1] + p[:-2, 1:-1]) / 4, h)
-                j, i = np.divmod(np.arange(x.size), r.cols)
-                yield pd.DataFrame({"day": r.day, "j": r.tj * r.rows + j, "i": r.ti * r.cols + i, "value": x.ravel(), "filled": hole.ravel()})
-
-    return tiles.mapInPandas(run, "day long, j long, i long, value double, filled boolean")
+                j, i = np.divmod(np.arange(h.size), r.cols)
+                yield pd.DataFrame({"day": r.day, "j": j, "i": i, "value": kernel(settle(h)).ravel(), "filled": np.isnan(h).ravel()})
+
+    return maps.mapInPandas(run, "day long, j long, i long, value double, filled boolean")
 
 
 def isotropic_spectra(tiles: DataFrame, cell: float) -> DataFrame:

@@ -145,13 +145,6 @@ def diffuse(x: np.ndarray, kappa: float = 0.15) -> np.ndarray:
     return x + kappa * (p[1:-1, 2:] + p[1:-1, :-2] + p[2:, 1:-1] + p[:-2, 1:-1] - 4 * x)
 
 
-def diffuse_clamped(h: np.ndarray, lat: np.ndarray, cell: float) -> np.ndarray:
-    x = h
-    for _ in range(10):
-        x = np.maximum(diffuse(x) + 0.01 * h, 0.0)
-    return x
-
-
 def minimise(fun: Callable, x: np.ndarray, max_iter: int = 60, rtol: float = 1e-4, memory: int = 8) -> tuple[np.ndarray, float, int]:
     """Limited-memory quasi-Newton descent; stops when the largest gradient has fallen by ``rtol``. Returns x, cost, iterations."""
     j, g = fun(x)
@@ -276,13 +269,6 @@ def sw_adjoint(h: np.ndarray, lat: np.ndarray, cell: float, depth: float = 0.9)
     return h
 
 
-def forward_days(h: np.ndarray, lat: np.ndarray, cell: float, days: int = 5) -> np.ndarray:
-    """The variational model run forward from a map, without assimilation."""
-    for _ in range(days):
-        h = diffuse(h)
-    return h
-
-
 def check_tiles(tiles_: DataFrame, cell: float) -> DataFrame:
     """day, tj, ti, adjoint, tangent: how far the hand-written transpose and linearity are off on each tile, relative.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
-from tidemill.operators import basis, kernels, stencils
+from tidemill.operators import basis, fill, kernels, stencils
 from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, NJ, R_SQL, Registry, field, nodes, q6, r6, readings
 from tidemill.plans.joins import WIDE, _GW, _wide
 
@@ -231,6 +233,10 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.tiles(_daily(spark, sf_dir), NJ, NI, rows=12, cols=12)
 
 
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.tiles(_daily(spark, sf_dir), NJ, NI, rows=NJ, cols=NI)
+
+
 @query()
 def helmholtz_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream function of each tile and day: inversion of its potential vorticity by sine transforms."""
@@ -251,8 +257,8 @@ def sw_step_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def identity_step_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten days of diffusion with forcing of each tile; negative values are clamped to 0."""
-    return kernels.run_tiles(_tiles(spark, sf_dir), kernels.diffuse_clamped, CELL)
+    """Ten days of diffusion with forcing of each day's whole map; negative values are clamped to 0."""
+    return fill.on_globe(_maps(spark, sf_dir), partial(fill.diffused, steps=10, forcing=0.01, low=0.0)).drop("filled")
 
 
 @query()

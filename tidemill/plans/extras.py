@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import scalars
 from tidemill.operators import basis, fill, kernels, spatial, stencils, windows
 from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, NJ, R_SQL, Registry, field, nodes, q6, r6, readings
-from tidemill.plans.dynamics import _FD, _daily, _tiles
+from tidemill.plans.dynamics import _FD, _daily, _maps, _tiles
 from tidemill.plans.joins import _GW, H_SQL, WIDE, _h, _ocean, _points, _wide, _xyz
 from tidemill.sources import ingest, sinks
 from tidemill.sources.tables import shared_dir, table
@@ -273,8 +273,8 @@ def coupled_step_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def relaxation_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing cells of each tile filled by relaxation towards the mean of their neighbours."""
-    return fill.relax(_tiles(spark, sf_dir), 40)
+    """Missing cells of each day's whole map filled by relaxation to the mean of their neighbours."""
+    return fill.on_globe(_maps(spark, sf_dir))
 
 
 @query()

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
-from tidemill.operators import basis, kernels, stencils
+from tidemill.operators import basis, fill, kernels, stencils
 from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, R_SQL, Registry, field, nodes, q6, r6
-from tidemill.plans.dynamics import _DX, _DY, _F, _FD, _daily, _tiles
+from tidemill.plans.dynamics import _DX, _DY, _F, _FD, _daily, _maps, _tiles
 from tidemill.plans.extras import _CLS, _by_class
 
 query = Registry()
@@ -103,8 +104,8 @@ def basis_hbc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def inv_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variational model run five days forward from each tile's map."""
-    return kernels.run_tiles(_tiles(spark, sf_dir), kernels.forward_days, CELL)
+    """The variational model run five days forward from each day's whole map."""
+    return fill.on_globe(_maps(spark, sf_dir), partial(fill.diffused, steps=5)).drop("filled")
 
 
 @query()
