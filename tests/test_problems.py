@@ -171,3 +171,14 @@ def test_compaction_bounds_its_outputs(spark):
     sizes = own.join(placement, "file_id").groupBy("output_id").count()
     assert sizes.agg(F.max("count")).first()[0] <= 64 + 8
     assert sizes.count() < 60
+
+
+def test_repeated_compaction_takes_files_that_the_manifest_does_not_list(spark, tmp_path):
+    obs, man = _archive(spark, 0, 20)
+    out = f"file://{tmp_path}/unlisted"
+    compaction.compact(spark, *_frames(spark, obs, man), out, target_rows=100)
+    more = [(9001, 900, "s", at(0)), (9002, 900, "s", at(0)), (obs[0][0], 901, "s", at(0))]
+    j = compaction.compact(spark, *_frames(spark, obs + more, man), out, target_rows=100).count()
+    data = sorted(r.obs_id for r in spark.read.parquet(f"{out}/data/*").select("obs_id").collect())
+    assert data == sorted({o[0] for o in obs + more})
+    assert compaction.compact(spark, *_frames(spark, obs + more, man), out, target_rows=100).count() == j

@@ -101,11 +101,11 @@ def compact(spark: SparkSession, obs: DataFrame, manifest: DataFrame, out_dir: s
     if done is not None:
         seen = done.filter("level = 0").select("file_id").distinct()
         manifest = manifest.join(seen, "file_id", "left_anti")
-        if manifest.filter("file_id is not null").isEmpty():
-            return done
         runs = [r.run_id for r in done.select("run_id").distinct().collect()]  # one per run of the job
         written = spark.read.parquet(*[f"{data_path}/{r}" for r in runs if _exists(spark, f"{data_path}/{r}")]).select("obs_id").distinct()
         obs = obs.join(seen, "file_id", "left_anti").join(written, "obs_id", "left_anti")
+        if manifest.filter("file_id is not null").isEmpty() and obs.isEmpty():  # obs may hold files that the manifest does not list
+            return done
     own = owners(obs)
     own = materialize(own, "owners")
     contrib = contributions(own, manifest)
