@@ -28,6 +28,14 @@ def test_series_marks_gaps_and_fits_lines(spark):
     assert alone.value == pytest.approx(1.0) and alone.lat is None and alone.support == pytest.approx(1.0)
 
 
+def test_infinite_values_support_a_period_and_enter_no_fit(spark):
+    rows = [("a", at(t), math.inf if t == 12000 else 1.0, None, None) for t in range(0, 32400, 1200)] + [("i", at(5), math.inf, 0.0, 0.0), ("i", at(30000), 2.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "sensor string, name_time timestamp_ntz, name_var double, lat double, lon double")
+    out = regrid.regular_series(df).orderBy("sensor", "period_no").collect()
+    assert [r.value for r in out if r.sensor == "a"] == pytest.approx([1.0] * 3)
+    assert [(r.missing, r.insufficient, r.value) for r in out if r.sensor == "i"] == [(False, True, None), (True, False, None), (False, False, 2.0)]
+
+
 def test_series_of_nothing(spark):
     df = spark.createDataFrame([], "sensor string, name_time timestamp_ntz, name_var double, lat double, lon double")
     assert regrid.regular_series(df).count() == 0
@@ -52,6 +60,13 @@ def test_pairs_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100 and (1001, 1002) in want
 
 
+def test_candidates_stay_near_the_radius(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(k, "ab"[k % 2], at(rnd.randrange(7200)), rnd.uniform(0, 1), rnd.uniform(0, 1)) for k in range(3000)], "id long, source string, time timestamp_ntz, lat double, lon double")
+    pairs, tried = proximity.near_pairs(df).count(), proximity.candidate_pairs(df).count()
+    assert 0 < pairs <= tried < 12 * pairs  # a box of 3 x 3 x 3 cells holds 27 / (pi * 2) = 4.3 times what the radius does; cells at the rims of bands more
+
+
 def test_regions(spark):
     ring = [(350.0, -5.0), (370.0, -5.0), (360.0, 5.0)]
     regions = spark.createDataFrame([("t", [{"lon": x, "lat": y} for x, y in ring]), ("thin", [{"lon": 0.0, "lat": 0.0}])], "region string, ring array<struct<lon: double, lat: double>>")
@@ -83,6 +98,36 @@ def test_spikes_of_a_constant_source_and_none(spark):
     assert spikes.implausible(_readings(spark, [])).count() == 0
 
 
+def _limited(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(5, 1, 400)
+    return v, spark.createDataFrame([("s", k, at(60 * k), float(x), -10.0, 6.5) for k, x in enumerate(v)], "source string, rec_id long, time timestamp_ntz, value double, low double, high double")
+
+
+def test_every_reading_beyond_a_limit_is_flagged(spark):
+    v, df = _limited(spark)
+    got = {r.rec_id for r in spikes.implausible(df).collect()}
+    assert got == {k for k, x in enumerate(v) if x > 6.5} and len(got) > 15
+
+
+def test_flags_do_not_depend_on_the_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in "abc":
+        v = np.cumsum(rng.normal(0, 0.02, 3000)) + 0.1 * rng.standard_normal(3000)
+        v[rng.integers(0, 3000, 20)] += rng.choice([-9, 9], 20)
+        for k in rng.integers(0, 2900, 5):
+            v[k : k + rng.integers(4, 12)] = v[k]
+        rows += [(s, 10000 * ord(s) + k, at(int(x)), float(y)) for k, (x, y) in enumerate(zip(np.cumsum(rng.integers(1, 400, 3000)), v))]
+    df = _readings(spark, rows)
+    want = sorted((r.rec_id, r.spike, r.stuck) for r in spikes.implausible(df, block=200).collect())
+    assert want == sorted((r.rec_id, r.spike, r.stuck) for r in spikes.implausible(df, block=20000).collect()) and len(want) > 60
+    # the first model's gate loses no reading that the exact check would flag
+    flagged, normal = spikes.candidates(df, block=200)
+    lost = df.join(normal, "source").filter("abs(value - good_mean) > 8 * good_sd").join(flagged, "rec_id", "left_anti")
+    assert lost.count() == 0
+
+
 def test_ranks_and_halos(spark):
     rows = [(s, (k * 37) % 101, k) for s in "ab" for k in range(300)]
     df = spark.createDataFrame(rows, "source string, t long, id long")
@@ -116,11 +161,15 @@ def _frames(spark, obs, man):
     return o, spark.createDataFrame([(*m, "x") for m in man], MAN)
 
 
+def _stored_ids(spark, out):
+    return [r.obs_id for r in compaction.compacted(spark, out).select("obs_id").collect()]
+
+
 def test_compaction_is_whole_and_idempotent(spark, tmp_path):
     obs, man = _archive(spark, 0, 120)
     out = f"file://{tmp_path}/store"
     j1 = compaction.compact(spark, *_frames(spark, obs, man), out, target_rows=100).count()
-    data = lambda: [r.obs_id for r in spark.read.parquet(f"{out}/data/*").select("obs_id").collect()]
+    data = lambda: _stored_ids(spark, out)
     assert sorted(data()) == sorted({o[0] for o in obs})
     assert compaction.compact(spark, *_frames(spark, obs, man), out, target_rows=100).count() == j1
     assert sorted(data()) == sorted({o[0] for o in obs})
@@ -135,9 +184,9 @@ def test_operators_on_empty_tables_and_clashing_names(spark, tmp_path):
     o, m = _frames(spark, [(1, 10, "s", at(0)), (1, 11, "s", at(0))], [(10, "s", at(0), None), (11, "s", at(0), None)])
     from pyspark.sql import functions as F
 
-    clash = o.withColumns({c: F.lit(7) for c in ("output_id", "n_kept", "now", "run", "span", "level", "txn_id")})
+    clash = o.withColumns({c: F.lit(7) for c in ("output_id", "run_id", "n_kept", "now", "run", "span", "level", "txn_id")})
     compaction.compact(spark, clash, m.withColumns({c: F.lit(7) for c in ("output_id", "n_kept", "slot", "small")}), f"file://{tmp_path}/clash")
-    assert [(r.obs_id, r.output_id) for r in spark.read.parquet(f"{tmp_path}/clash/data/*").collect()] == [(1, 10)]
+    assert [(r.obs_id, r.output_id, r.now) for r in compaction.compacted(spark, f"file://{tmp_path}/clash").collect()] == [(1, 10, 7)]
     points = spark.createDataFrame([], "id long, source string, time timestamp_ntz, lat double, lon double, cell long, band long")
     assert proximity.near_pairs(points).count() == 0
     regions = spark.createDataFrame([], "region string, ring array<struct<lon: double, lat: double>>")
@@ -179,6 +228,67 @@ def test_repeated_compaction_takes_files_that_the_manifest_does_not_list(spark,
     compaction.compact(spark, *_frames(spark, obs, man), out, target_rows=100)
     more = [(9001, 900, "s", at(0)), (9002, 900, "s", at(0)), (obs[0][0], 901, "s", at(0))]
     j = compaction.compact(spark, *_frames(spark, obs + more, man), out, target_rows=100).count()
-    data = sorted(r.obs_id for r in spark.read.parquet(f"{out}/data/*").select("obs_id").collect())
-    assert data == sorted({o[0] for o in obs + more})
+    assert sorted(_stored_ids(spark, out)) == sorted({o[0] for o in obs + more})
     assert compaction.compact(spark, *_frames(spark, obs + more, man), out, target_rows=100).count() == j
+
+
+def test_six_runs_end_as_one_run(spark, tmp_path):
+    obs, man = _archive(spark, 56, 116)  # within one span of the second level
+    out = f"file://{tmp_path}/six"
+    for k in range(6):
+        new = range(56 + 10 * k, 66 + 10 * k)
+        o, m = [x for x in obs if x[1] in new], [x for x in man if x[0] in new]
+        j = compaction.compact(spark, *_frames(spark, o, m), out, target_rows=1000)
+    whole = f"file://{tmp_path}/one"
+    j1 = compaction.compact(spark, *_frames(spark, obs, man), whole, target_rows=1000)
+    live, one = compaction.live_outputs(j).collect(), compaction.live_outputs(j1).collect()
+    assert len(live) == len(one) == 1 and live[0].n_rows == one[0].n_rows
+    assert sorted(_stored_ids(spark, out)) == sorted(_stored_ids(spark, whole)) == sorted({o[0] for o in obs})
+    import os
+
+    assert all(os.path.isfile(r.path.removeprefix("file://").removeprefix("file:")) for r in live + one)
+    assert j.filter("action = 'retire'").count() == 5
+
+
+def test_a_large_output_is_not_moved_for_a_few_rows(spark, tmp_path):
+    out = f"file://{tmp_path}/large"
+    step = lambda rows, f: compaction.compact(spark, *_frames(spark, rows, [(f, "s", at(0), None)]), out, target_rows=5000)
+    step([(k, 1, "s", at(0)) for k in range(1000)], 1)
+    j = step([(5000, 2, "s", at(0)), (3, 2, "s", at(0))], 2)
+    assert sorted(r.n_rows for r in compaction.live_outputs(j).collect()) == [1, 1000]
+    j = step([(6000 + k, 3, "s", at(0)) for k in range(160)], 3)
+    assert [r.n_rows for r in compaction.live_outputs(j).collect()] == [1161]
+    assert sorted(_stored_ids(spark, out)) == sorted([*range(1000), 5000, *range(6000, 6160)])
+
+
+@pytest.mark.parametrize("stage", ["data", "journal"])
+def test_a_killed_run_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, stage):
+    obs, man = _archive(spark, 0, 40)
+    out = f"file://{tmp_path}/killed"
+    first = [x for x in obs if x[1] < 20], [x for x in man if x[0] < 20]
+    compaction.compact(spark, *_frames(spark, *first), out, target_rows=1000)
+    before = sorted(_stored_ids(spark, out))
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    real = DataFrameWriter.parquet
+
+    def dying(self, path, *args, **kw):
+        if f"/{stage if stage == 'journal' else 'commits'}" in path or (stage == "data" and "/journal/" in path):
+            raise KeyboardInterrupt
+        return real(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dying)
+    with pytest.raises(KeyboardInterrupt):
+        compaction.compact(spark, *_frames(spark, obs, man), out, target_rows=1000)
+    monkeypatch.undo()
+    assert sorted(_stored_ids(spark, out)) == before
+    compaction.compact(spark, *_frames(spark, obs, man), out, target_rows=1000)
+    assert sorted(_stored_ids(spark, out)) == sorted({o[0] for o in obs})
+
+
+def test_entries_without_sensor_or_window_are_spread(spark):
+    obs = [(k, k // 2, None, None) for k in range(2000)] + [(5000 + k, 5000 + k // 3, "q", at(k * 7200)) for k in range(30)]
+    o, m = _frames(spark, obs, [])
+    rows = {r.file_id: r for r in compaction.contributions(o, m).collect()}
+    assert len({r.slot for k, r in rows.items() if k < 1000}) == 1000
+    assert rows[5000].obs_name == "q" and rows[5009].slot > rows[5000].slot

@@ -58,6 +58,15 @@ def test_empty_tables(spark):
     assert units.reference_longitudes(ref).count() == 0 and units.baseline_longitudes(bas).count() == 0
 
 
+def test_other_quantities(spark):
+    rows = [(1, "20.5 C", None), (2, "68", "fahrenheit"), (3, "300", "K"), (4, "none", "K"), (5, None, "K"), (6, "12", "furlongs"), (7, "1e9", "c"), (8, "15,5", None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, t string, unit string, factor string")
+    got = {r.id: r.base for r in units.convert(df, "temperature", "t", "unit", default="celsius").collect()}
+    assert got == {1: pytest.approx(293.65), 2: pytest.approx(293.15), 3: 300.0, 4: None, 5: None, 6: pytest.approx(285.15), 7: None, 8: pytest.approx(288.65)}
+    m = spark.createDataFrame([(1, 120.0, "depth in cm"), (2, float("nan"), "cm"), (3, 3.0, None)], "id long, z double, note string")
+    assert {r.id: r.base for r in units.convert(m, "length", "z", text="note").collect()} == {1: pytest.approx(1.2), 2: None, 3: None}
+
+
 @pytest.mark.parametrize(
     ("text", "note", "lon", "bare"),
     [

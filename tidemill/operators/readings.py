@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemill.sources.tables import given
 
@@ -11,11 +12,17 @@ from tidemill.sources.tables import given
 def distinct_readings(df: DataFrame, key: str, *cols: str) -> DataFrame:
     """One row per ``key`` with the named columns; rows without a key are no readings and are left out.
 
-    Deliveries of a reading have the same content, so any of them will do; the aggregate is partial
-    before the shuffle, so copies within a partition do not travel (numeric columns stay in a hash aggregate). Only ``cols`` are carried: extra
-    columns of the input, whatever their names, are ignored. An empty input gives an empty result.
+    Deliveries of a reading have the same content, so any of them will do; the aggregate is partial before the
+    shuffle, so copies within a partition do not travel. Strings are grouped by, as a buffer of a string would turn the hash
+    aggregate into a sort of all rows; deliveries of a key that differ in a string therefore stay apart. Only
+    ``cols`` are carried: extra columns of the input, whatever their names, are ignored. An empty input gives an empty result.
     """
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.any_value(c).alias(c) for c in cols])
+    text = strings(df, cols)
+    return df.filter(F.col(key).isNotNull()).groupBy(key, *text).agg(F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in cols if c not in text]).select(key, *cols)
+
+
+def strings(df: DataFrame, cols: tuple[str, ...]) -> list[str]:
+    return [c for c in cols if isinstance(df.schema[c].dataType, StringType)]
 
 
 def with_known_time(readings: DataFrame, sensor: DataFrame, keep_unknown: bool = False) -> DataFrame:

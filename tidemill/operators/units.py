@@ -1,8 +1,9 @@
-"""Problem 5: longitudes recorded in different units, brought to degrees east, 0 <= lon < 360.
+"""Problem 5: quantities recorded in different units, brought to common ones; longitudes to degrees east, 0 <= lon < 360.
 
 Pure SQL expressions: the number and the unit are extracted by regular expression, the unit's alias is
 normalised by a join with a fixed table of aliases, the unit field, the text unit and the default by the
-number's size are coalesced, then factor and offset are applied. No Python runs on the rows.
+number's size are coalesced, then factor and offset are applied. No Python runs on the rows. ``convert`` does so for any
+quantity of the table; longitudes add directions, notations in degrees and minutes, and packed integers told by size.
 
 Defined results: null, NaN and text without a number have no longitude (null); infinite numbers and
 numbers beyond every unit are null too; a missing manifest entry counts as silent. Copies of a reading
@@ -11,11 +12,13 @@ that tell different things are read together: the most exact telling holds.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.readings import strings
 from tidemill.sources.tables import broadcast_if_small
 
 # The spellings of units in lon_unit, attributes and lon_note.
@@ -48,8 +51,18 @@ ALIASES = [
     ("microdegree", "udeg"),
     ("udeg", "udeg"),
 ]
-# unit: factor to degrees, largest number that can be a longitude
-UNITS = {"deg": (1.0, 360.0), "rad": (57.29577951308232, 6.2832), "arcmin": (1 / 60, 21600.0), "udeg": (1e-6, 360e6)}
+# Of each quantity its units: factor and offset to the quantity's base unit (the first), largest number that can be one.
+QUANTITIES = {
+    "longitude": {"deg": (1.0, 0.0, 360.0), "rad": (57.29577951308232, 0.0, 6.2832), "arcmin": (1 / 60, 0.0, 21600.0), "udeg": (1e-6, 0.0, 360e6)},
+    "temperature": {"K": (1.0, 0.0, 1000.0), "degC": (1.0, 273.15, 1000.0), "degF": (5 / 9, 459.67 * 5 / 9, 1800.0)},
+    "length": {"m": (1.0, 0.0, 1e9), "cm": (0.01, 0.0, 1e11), "mm": (0.001, 0.0, 1e12), "km": (1000.0, 0.0, 1e6), "ft": (0.3048, 0.0, 1e9)},
+}
+# The spellings of the other quantities' units. (spelling, unit)
+OTHER_ALIASES = {
+    "temperature": [("kelvin", "K"), ("k", "K"), ("degrees celsius", "degC"), ("celsius", "degC"), ("degc", "degC"), ("c", "degC"), ("degrees fahrenheit", "degF"), ("fahrenheit", "degF"), ("degf", "degF"), ("f", "degF")],
+    "length": [("metres", "m"), ("meters", "m"), ("metre", "m"), ("meter", "m"), ("m", "m"), ("centimetres", "cm"), ("centimeters", "cm"), ("cm", "cm"), ("millimetres", "mm"), ("millimeters", "mm"), ("mm", "mm"), ("kilometres", "km"), ("kilometers", "km"), ("km", "km"), ("feet", "ft"), ("foot", "ft"), ("ft", "ft")],
+}
+UNITS = {u: (f, most) for u, (f, _, most) in QUANTITIES["longitude"].items()}
 
 _TOKEN = "(" + "|".join(a.replace("^", r"\^") for a, _ in sorted(ALIASES, key=lambda a: -len(a[0])) if a != "'") + ")"
 _WEST = r"(?<!negative )(west|deg ?w\b|[0-9°'\"m ]w\s*$)"
@@ -84,6 +97,32 @@ def with_unit(df: DataFrame, token: str, to: str) -> DataFrame:
     return df.join(F.broadcast(al), F.col(token) == F.col("_alias"), "left").drop("_alias", token)
 
 
+def convert(df: DataFrame, quantity: str, value: str, field: str | None = None, text: str | None = None, default: str | Column | None = None, to: str = "base") -> DataFrame:
+    """Add ``to``: ``value`` in the base unit of ``quantity`` (factor * number + offset).
+
+    ``value`` is a number, or a text that holds one and perhaps its unit. The unit is that of the column ``field``, else
+    one told in the column ``text`` or beside the number, else ``default`` (a spelling of the source's own unit). Spellings are
+    normalised by joins with the fixed table of aliases, a few rows whatever the input's size. Null where there is no
+    number, no known unit, or a number that cannot be one in its unit.
+    """
+    aliases = ALIASES if quantity == "longitude" else OTHER_ALIASES[quantity]
+    rows = [(a, *QUANTITIES[quantity][u]) for a, u in aliases]
+    table_ = F.broadcast(df.sparkSession.createDataFrame(rows, "_alias string, _factor double, _offset double, _most double"))
+    written = dict(df.dtypes)[value] == "string"
+    number = F.regexp_extract(value, r"([+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?)", 1) if written else F.col(value)
+    number = F.regexp_replace(number, ",", ".").try_cast("double") if written else F.when(~F.isnan(number.cast("double")), number.cast("double"))
+    token = r"(?<![a-z])(" + "|".join(re.escape(a) for a, _ in sorted(aliases, key=lambda a: -len(a[0]))) + r")(?![a-z])"
+    told = lambda c: F.regexp_extract(F.lower(c), token, 1)
+    texts = [F.lower(F.trim(field))] if field else []
+    texts += [told(F.col(c)) for c in ([text] if text else []) + ([value] if written else [])]
+    texts += [F.lower(default if isinstance(default, Column) else F.lit(default))] if default is not None else []
+    known = F.array(*[F.lit(a) for a, _ in aliases])
+    spelling = F.coalesce(*[F.when(F.array_contains(known, c), c) for c in texts], F.lit(None).cast("string"))
+    j = df.withColumn("_n", number).withColumn("_alias", spelling).join(table_, "_alias", "left")
+    fits = F.abs("_n") <= F.col("_most")
+    return j.withColumn(to, F.when(fits, F.col("_n") * F.col("_factor") + F.col("_offset"))).select(*df.columns, to)
+
+
 def more_exact(field: Column, text: Column) -> Column:
     """Coalesce the unit of the field and of the text; plain degrees give way to anything more exact."""
     general = F.coalesce(field["unit"] == "deg", F.lit(True))
@@ -147,24 +186,31 @@ def unit_of(c: Column) -> Column:
     return F.coalesce(*[F.when(c == n, struct(u)) for u, n in CODES.items()])
 
 
-def observation_longitudes(obs: DataFrame, manifest: DataFrame, *cols: str) -> DataFrame:
+def lookups(obs: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spellings of the unit field, telling entries of the manifest), each broadcast behind a count, else joined by shuffle."""
+    return broadcast_if_small(spelled_units(obs, "lon_unit"), "spellings"), broadcast_if_small(manifest_units(manifest), "told")
+
+
+def observation_longitudes(obs: DataFrame, manifest: DataFrame, *cols: str, small: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row per obs_id: obs_id, name_lon, lon_east, bare_east, and the columns named.
 
-    The spellings of the unit field and the telling entries of the manifest are joined first (broadcast behind a
-    count, else by shuffle); then one partial aggregate reduces to one row per reading, the only shuffle of readings.
-    Where copies differ in what their files tell, the most exact telling wins.
+    The two ``lookups`` (made here unless they are given) are joined first; then one partial hash aggregate reduces to
+    one row per reading, the only shuffle of readings. Where copies differ in what their files tell, the most exact
+    telling wins. Strings among ``cols`` are grouped by (see ``distinct_readings``).
     """
+    spellings, told_by_file = small or lookups(obs, manifest)
     rows = obs.filter(F.col("obs_id").isNotNull()).select("obs_id", "file_id", "name_lon", "lon_unit", *cols)
-    rows = rows.join(broadcast_if_small(spelled_units(obs, "lon_unit"), "spellings"), "lon_unit", "left")
-    rows = rows.join(broadcast_if_small(manifest_units(manifest), "told"), "file_id", "left")
+    rows = rows.join(spellings, "lon_unit", "left")
+    rows = rows.join(told_by_file, "file_id", "left")
     field, text = F.coalesce("field_code", F.lit(0)), F.coalesce("text_code", F.lit(0))
     told = F.when((field <= 1) & (text > 0), text).otherwise(field)
     west = F.coalesce("field_west", F.lit(False)) | F.coalesce("text_west", F.lit(False))
-    one = rows.groupBy("obs_id").agg(
+    text_cols = strings(obs, cols)
+    one = rows.groupBy("obs_id", *text_cols).agg(
         F.any_value("name_lon").alias("name_lon"),
         F.max(told).alias("_code"),
         F.max(west).alias("_west"),
-        *[F.any_value(c).alias(c) for c in cols],
+        *[F.any_value(c).alias(c) for c in cols if c not in text_cols],
     )
     number, unit = F.when(~F.isnan("name_lon"), F.col("name_lon")), unit_of(F.col("_code"))
     return one.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import units
 from tidemill.operators.readings import distinct_readings, with_known_time
 from tidemill.operators.regrid import seconds
-from tidemill.sources.tables import nan_to_null, table
+from tidemill.sources.tables import nan_to_null, once, table
 
 
 class Registry:
@@ -45,7 +45,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v is null where it is not given or beyond varmax of its sensor (100 if that is not known): the row stays.
     """
     t = lambda n: table(spark, sf_dir, n)
-    r = units.observation_longitudes(t("obs"), t("dict_obs"), "sensor", "name_time", "name_lat", "name_xac", "name_var", "name_err")
+    small = once(spark, ("lookups", sf_dir), lambda: units.lookups(t("obs"), t("dict_obs")))
+    r = units.observation_longitudes(t("obs"), t("dict_obs"), "sensor", "name_time", "name_lat", "name_xac", "name_var", "name_err", small=small)
     r = with_known_time(r, t("sensor")).filter("name_lat between -90 and 90 and lon_east is not null")
     s = t("sensor").select("sensor", "obs_class", nan_to_null(F.col("sigma_noise")).alias("sigma"), F.coalesce(nan_to_null(F.col("varmax")), F.lit(100.0)).alias("most"))
     v = nan_to_null(F.col("name_var"))

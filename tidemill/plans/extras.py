@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, NJ, R_SQL, Registry, fie
 from tidemill.plans.dynamics import _FD, _daily, _maps, _tiles
 from tidemill.plans.joins import _GW, H_SQL, WIDE, _h, _ocean, _points, _wide, _xyz
 from tidemill.sources import ingest, sinks
-from tidemill.sources.tables import shared_dir, table
+from tidemill.sources.tables import new_folder, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -27,7 +25,7 @@ def _ntz_day(c: str = "t") -> F.Column:
 @query(f"{R_SQL} SELECT CAST(date_trunc('day', t) AS TIMESTAMP) AS day, obs_class, count(*) AS n, {q6('sum(v)', '1e3')} AS total FROM r GROUP BY ALL")
 def sink_windows_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings written as a folder per day and class, and read back."""
-    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    path = new_folder(spark, "windows")
     sinks.write_windows(readings(spark, sf_dir).withColumn("day", F.to_date("t")), path, ["day", "obs_class"])
     back = spark.read.parquet(path)
     return back.groupBy(F.col("day").cast("timestamp_ntz").alias("day"), "obs_class").agg(F.count("*").alias("n"), r6(F.sum("v"), 1e3).alias("total"))
@@ -36,10 +34,10 @@ def sink_windows_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{R_SQL} SELECT sensor, count(*) AS n FROM r GROUP BY sensor")
 def cached_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest asked for twice: the second time it is read from the cache, which is named by the parameters."""
-    key = {"sf_dir": sf_dir, "table": "obs", "run": uuid.uuid4().hex}
+    key, folder = {"sf_dir": sf_dir, "table": "obs"}, new_folder(spark, "ingest")
     make = lambda: readings(spark, sf_dir).withColumn("day", F.to_date("t"))
-    ingest.cached(spark, shared_dir(spark), key, make, ["day"])
-    return ingest.cached(spark, shared_dir(spark), key, make, ["day"]).groupBy("sensor").agg(F.count("*").alias("n"))
+    ingest.cached(spark, folder, key, make, ["day"])
+    return ingest.cached(spark, folder, key, make, ["day"]).groupBy("sensor").agg(F.count("*").alias("n"))
 
 
 @query(f"{R_SQL} SELECT obs_id, sensor, {q6('(ts - epoch_us(TIMESTAMP ' + chr(39) + '1993-01-01 00:00:00' + chr(39) + ') / 1e6) / 86400')} AS day, {q6('lon')} AS lon, {q6('lat')} AS lat, {q6('v')} AS v FROM r WHERE lon BETWEEN 100 AND 260 AND lat BETWEEN -60 AND 60 AND t BETWEEN TIMESTAMP '1993-01-02' AND TIMESTAMP '1993-01-09' AND v IS NOT NULL")

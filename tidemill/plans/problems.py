@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import compaction, proximity, regrid, spikes, units
 from tidemill.operators.readings import distinct_readings, usable, with_known_time
 from tidemill.plans.base import DIAG_SQL, LON_SQL, q6, r6
-from tidemill.sources.tables import materialize, shared_dir, table
+from tidemill.sources.tables import new_folder, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -26,18 +24,20 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = units.observation_longitudes(t("obs"), t("dict_obs"), "sensor", "name_time", "name_lat", "name_var")
     r = with_known_time(usable(r), t("sensor"))
     lat = F.when(F.col("name_lat").between(-90, 90), F.col("name_lat"))
-    return regrid.regular_series(r.select("sensor", "name_time", "name_var", lat.alias("lat"), F.col("lon_east").alias("lon")))
+    return regrid.regular_series(r.select("sensor", "name_time", "name_var", lat.alias("lat"), F.col("lon_east").alias("lon")), largest=100.0)
 
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods whose own readings' effective support is too small, which is where there are none."""
     return _series(spark, sf_dir).filter("missing").select("sensor", "period_no")
 
 
 @query
 def p1_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regular series of every sensor: value and position where there are readings, a mark where there are none."""
-    return _series(spark, sf_dir)
+    """The regular series of every sensor: value and position where there are readings, marks where there are none or too few."""
+    out = _series(spark, sf_dir)
+    return out.withColumns({c: r6(c, 1e4) for c in ("support", "own_support", "value", "lat", "lon", "filled")})
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,32 +88,36 @@ def p3_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _implausible(spark, sf_dir).groupBy("source").agg(*[F.count_if(c).alias(f"n_{c}") for c in ("spike", "stuck", "impossible")])
 
 
-def _compaction_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = materialize(compaction.owners(table(spark, sf_dir, "obs")), "owners")
-    return compaction.plan(compaction.contributions(own, table(spark, sf_dir, "dict_obs")))
+def _compact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The journal of a compaction of the whole table into a new store of the shared folder, and the store's path."""
+    out = new_folder(spark, "compacted")
+    return compaction.compact(spark, table(spark, sf_dir, "obs"), table(spark, sf_dir, "dict_obs"), out), out
 
 
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that the compaction's journal drops, as they add no reading."""
-    return _compaction_plan(spark, sf_dir)[0].filter("action = 'drop'").select("file_id")
+    return _compact(spark, sf_dir)[0].filter("action = 'drop'").select("file_id")
+
+
+@query
+def p4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the journal says of each entry: taken or dropped, and the readings it adds."""
+    return _compact(spark, sf_dir)[0].filter("level = 0").select("file_id", "action", "n_rows")
 
 
 @query
 def p4_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal's transactions: level, action, txn_id, output, inputs and rows."""
-    journal, _ = _compaction_plan(spark, sf_dir)
+    journal = _compact(spark, sf_dir)[0]
     return journal.groupBy("level", "action", "txn_id").agg(F.max("output_id").alias("output_id"), F.count("*").alias("n_inputs"), F.sum("n_rows").alias("n_rows"))
 
 
 @query
 def p4_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewrite the readings of the whole table into few files in the shared folder, and read them back by sensor."""
-    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
-    compaction.compact(spark, table(spark, sf_dir, "obs"), table(spark, sf_dir, "dict_obs"), out)
-    back = spark.read.parquet(f"{out}/data/*")
-    per_file = back.groupBy("sensor", "output_id").agg(F.count("*").alias("n"))
-    return per_file.groupBy("sensor").agg(F.sum("n").alias("n_readings"), F.count("*").alias("n_outputs"), F.max("n").alias("most"))
+    """The readings of the whole table rewritten into few files, read back through the journal: rows and readings by sensor."""
+    back = compaction.compacted(spark, _compact(spark, sf_dir)[1])
+    return back.groupBy("sensor").agg(F.count("*").alias("n_rows"), F.countDistinct("obs_id").alias("n_readings"))
 
 
 @query
@@ -131,6 +135,15 @@ def p5_longitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.select("tab", "rec_id", r6("lon_east", 1e5).alias("lon_east"))
 
 
+@query
+def p5_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary values in base units (kelvin, metres); the unit is the variable's own."""
+    b = distinct_readings(table(spark, sf_dir, "bc"), "bc_id", "var_name", "var")
+    sst = units.convert(b.filter("var_name = 'sst'"), "temperature", "var", default="degrees Celsius")
+    ssh = units.convert(b.filter("var_name = 'ssh'"), "length", "var", default="m")
+    return sst.unionByName(ssh).filter("base is not null").select("bc_id", "var_name", r6("base", 1e3).alias("base"))
+
+
 @query
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and converted records by table and 10-degree band."""
@@ -140,10 +153,14 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.groupBy("tab", band).agg(F.count("*").alias("n"), F.count_if(~F.coalesce("bare_east", F.lit(False))).alias("n_converted"))
 
 
-SQL["p4_found"] = """
-WITH own AS (SELECT obs_id, min(file_id) AS file_id FROM obs WHERE obs_id IS NOT NULL AND file_id IS NOT NULL GROUP BY obs_id)
-SELECT DISTINCT d.file_id FROM dict_obs d WHERE d.file_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own o WHERE o.file_id = d.file_id)
-"""
+_OWN = "WITH own AS (SELECT obs_id, min(file_id) AS file_id FROM obs WHERE obs_id IS NOT NULL AND file_id IS NOT NULL GROUP BY obs_id)"
+
+SQL["p4_found"] = f"{_OWN} SELECT DISTINCT d.file_id FROM dict_obs d WHERE d.file_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own o WHERE o.file_id = d.file_id)"
+
+SQL["p4_entries"] = f"""{_OWN}, k AS (SELECT file_id, count(*) AS n FROM own GROUP BY file_id), d AS (SELECT DISTINCT file_id FROM dict_obs WHERE file_id IS NOT NULL)
+SELECT coalesce(d.file_id, k.file_id) AS file_id, CASE WHEN n > 0 THEN 'take' ELSE 'drop' END AS action, coalesce(n, 0) AS n_rows FROM d FULL JOIN k ON d.file_id = k.file_id"""
+
+SQL["p4_compacted"] = "SELECT sensor, count(DISTINCT obs_id) AS n_rows, count(DISTINCT obs_id) AS n_readings FROM obs WHERE obs_id IS NOT NULL AND file_id IS NOT NULL GROUP BY sensor"
 
 SQL["p1_found"] = """
 WITH r AS (SELECT DISTINCT ON (obs_id) obs_id, o.sensor, name_time FROM obs o JOIN sensor s ON s.sensor = o.sensor
@@ -153,6 +170,42 @@ g AS (SELECT sensor, unnest(generate_series(min(period_no), max(period_no))) AS
 SELECT sensor, period_no FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.sensor = g.sensor AND p.period_no = g.period_no)
 """
 
+_FIT = "coalesce(CASE WHEN {w}0 * {w}2 - {w}1 * {w}1 > 1e-4 * {w}0 * {w}0 THEN ({w}2 * {y}0 - {w}1 * {y}1) / ({w}0 * {w}2 - {w}1 * {w}1) END, CASE WHEN {w}0 > 0 THEN {y}0 / {w}0 END)"
+_SUMS = ", ".join(
+    [f"sum({w} * pow(u, {k})) AS {p}{k}" for p, w in (("vw", "wv"), ("pw", "wp")) for k in range(3)]
+    + [f"sum({w} * {y}) AS {p}0, sum({w} * u * {y}) AS {p}1" for p, y, w in (("v", "name_var", "wv"), ("x", "px", "wp"), ("y", "py", "wp"), ("z", "pz", "wp"))]
+)
+_fit = lambda y: _FIT.format(w="vw" if y == "v" else "pw", y=y)
+
+SQL["p1_series"] = f"""
+WITH {LON_SQL},
+r AS (SELECT o.sensor, epoch_us(o.name_time) / 1e6 AS t, name_var, CASE WHEN name_lat BETWEEN -90 AND 90 THEN radians(name_lat) END AS la, radians(lon_east) AS lo
+      FROM (SELECT DISTINCT ON (obs_id) * FROM obs WHERE obs_id IS NOT NULL) o JOIN sensor s ON s.sensor = o.sensor JOIN lon ON lon.obs_id = o.obs_id
+      WHERE name_var IS NOT NULL AND NOT isnan(name_var) AND o.name_time BETWEEN begin_time AND end_time),
+k AS (SELECT *, cos(la) * cos(lo) AS px, cos(la) * sin(lo) AS py, CASE WHEN lo IS NOT NULL THEN sin(la) END AS pz, CAST(floor(t / 10800) AS BIGINT) AS own FROM r),
+e AS (SELECT *, (t - (period_no + 0.5) * 10800) / 16200 AS u FROM (SELECT *, unnest([own - 1, own, own + 1]) AS period_no FROM k)),
+w AS (SELECT *, pow(1 - pow(abs(u), 3), 3) AS w FROM e WHERE abs(u) < 1),
+f AS (SELECT *, CASE WHEN abs(name_var) <= 100 THEN w END AS wv, CASE WHEN px IS NOT NULL THEN w END AS wp, CASE WHEN own = period_no THEN w END AS wo FROM w),
+m AS (SELECT sensor, period_no, {_SUMS}, sum(wv * wv) AS ww, sum(wo) AS ow, sum(wo * wo) AS oww, count(wo) AS n FROM f GROUP BY sensor, period_no),
+g AS (SELECT sensor, unnest(generate_series(min(period_no), max(period_no))) AS period_no FROM m WHERE ow > 0 GROUP BY sensor),
+s AS (SELECT *, coalesce(CASE WHEN ww > 0 THEN vw0 * vw0 / ww END, 0.0) AS support, coalesce(CASE WHEN oww > 0 THEN ow * ow / oww END, 0.0) AS own_support FROM g LEFT JOIN m USING (sensor, period_no)),
+b AS (SELECT *, own_support < 1 - 1e-9 AS missing, support < 1 - 1e-9 AS insufficient, {_fit("v")} AS fv, {_fit("x")} AS fx, {_fit("y")} AS fy, {_fit("z")} AS fz FROM s)
+SELECT sensor, period_no, coalesce(n, 0) AS n_readings, {q6("support", "1e4")} AS support, {q6("own_support", "1e4")} AS own_support, missing, insufficient,
+       {q6("CASE WHEN NOT missing AND NOT insufficient THEN fv END", "1e4")} AS value, {q6("CASE WHEN NOT missing THEN degrees(atan2(fz, sqrt(fx * fx + fy * fy))) END", "1e4")} AS lat,
+       {q6("CASE WHEN NOT missing THEN degrees(atan2(fy, fx)) - 360 * floor(degrees(atan2(fy, fx)) / 360) END", "1e4")} AS lon, {q6("CASE WHEN missing AND NOT insufficient THEN fv END", "1e4")} AS filled FROM b
+"""
+
+SQL["p2_regions"] = f"""
+WITH {LON_SQL}, x AS (SELECT DISTINCT regexp_extract(obs_path, 'obs_(-?[0-9]+_-?[0-9]+_-?[0-9]+_-?[0-9]+)_', 1) AS region FROM dict_obs),
+b AS (SELECT region, CAST(c[1] AS DOUBLE) AS lon0, CAST(c[2] AS DOUBLE) AS lon1, CAST(c[3] AS DOUBLE) AS lat0, CAST(c[4] AS DOUBLE) AS lat1 FROM (SELECT region, string_split(region, '_') AS c FROM x WHERE region <> '')),
+p AS (SELECT o.sensor, o.name_lat AS lat, lon_east AS lon FROM (SELECT DISTINCT ON (obs_id) * FROM obs WHERE obs_id IS NOT NULL) o JOIN sensor s ON s.sensor = o.sensor JOIN lon ON lon.obs_id = o.obs_id
+      WHERE o.name_time BETWEEN begin_time AND end_time AND o.name_lat BETWEEN -90 AND 90 AND lon_east IS NOT NULL)
+SELECT region, sensor, count(*) AS n FROM b, p WHERE lat >= lat0 AND lat < lat1 AND (lon >= lon0 AND lon < lon1 OR lon - 360 >= lon0 AND lon - 360 < lon1 OR lon + 360 >= lon0 AND lon + 360 < lon1) GROUP BY region, sensor
+"""
+
+SQL["p5_boundary"] = f"""SELECT bc_id, var_name, {q6("CASE var_name WHEN 'sst' THEN var + 273.15 ELSE var END", "1e3")} AS base FROM (SELECT DISTINCT ON (bc_id) * FROM bc WHERE bc_id IS NOT NULL)
+WHERE NOT isnan(var) AND abs(var) <= CASE var_name WHEN 'sst' THEN 1000 WHEN 'ssh' THEN 1e9 END"""
+
 SQL["p2_found"] = f"""
 WITH {LON_SQL},
 p AS (SELECT o.obs_id, o.sensor, epoch_us(o.name_time) / 1e6 AS t, o.name_lat AS lat, lon.lon_east AS lon
@@ -165,16 +218,20 @@ WHERE a.obs_id < b.obs_id AND a.sensor <> b.sensor AND abs(a.t - b.t) <= 1800
   AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 5
 """
 
-SQL["p3_found"] = """
-WITH r AS (SELECT 'obs' AS tab, o.sensor AS source, obs_id AS rec_id, CASE WHEN name_time BETWEEN begin_time AND end_time THEN name_time END AS t, name_var AS v
-           FROM (SELECT DISTINCT ON (obs_id) * FROM obs WHERE obs_id IS NOT NULL) o JOIN sensor s ON s.sensor = o.sensor WHERE name_var IS NOT NULL AND NOT isnan(name_var)
-           UNION ALL SELECT 'bc', CAST(node_id AS VARCHAR), bc_id, name_time, var FROM (SELECT DISTINCT ON (bc_id) * FROM bc WHERE bc_id IS NOT NULL) WHERE var IS NOT NULL AND NOT isnan(var)),
-q AS (SELECT tab, source, median(v) AS m, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 AS s FROM r GROUP BY ALL),
-g AS (SELECT tab, source, avg(v) AS m, stddev_pop(v) AS s FROM r JOIN q USING (tab, source) WHERE abs(v - q.m) <= 8 * q.s GROUP BY ALL),
-w AS (SELECT *, row_number() OVER (PARTITION BY tab, source ORDER BY t, rec_id) - row_number() OVER (PARTITION BY tab, source, v ORDER BY t, rec_id) AS run FROM r WHERE t IS NOT NULL),
-n AS (SELECT tab, rec_id, count(*) OVER (PARTITION BY tab, source, v, run) AS n FROM w)
-SELECT tab, rec_id FROM r JOIN g USING (tab, source) WHERE abs(v - m) > 8 * s UNION SELECT tab, rec_id FROM n WHERE n >= 6
-"""
+# 'bad' is the physical limit: varmax of the sensor; sea level within 50 m and water of -5 to 45 degrees
+_P3 = """
+WITH lim AS (SELECT sensor, min(begin_time) AS b, max(end_time) AS e, min(abs(varmax)) FILTER (NOT isnan(varmax)) AS high FROM sensor GROUP BY sensor),
+r AS (SELECT 'obs' AS tab, 'obs:' || o.sensor AS source, obs_id AS rec_id, CASE WHEN name_time BETWEEN b AND e THEN name_time END AS t, name_var AS v, coalesce(abs(name_var) > high, false) OR abs(name_var) >= 1e15 AS bad
+      FROM (SELECT DISTINCT ON (obs_id) * FROM obs WHERE obs_id IS NOT NULL) o LEFT JOIN lim ON lim.sensor = o.sensor WHERE o.sensor IS NOT NULL AND name_var IS NOT NULL AND NOT isnan(name_var)
+      UNION ALL SELECT 'bc', 'bc:' || node_id, bc_id, name_time, var, CASE WHEN var_name = 'sst' THEN var NOT BETWEEN -5 AND 45 ELSE abs(var) > 50 END
+      FROM (SELECT DISTINCT ON (bc_id) * FROM bc WHERE bc_id IS NOT NULL) WHERE node_id IS NOT NULL AND var IS NOT NULL AND NOT isnan(var)),
+q AS (SELECT source, median(v) AS m, greatest((quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349, (quantile_cont(v, 0.9) - quantile_cont(v, 0.1)) / 5.126) AS s FROM r WHERE NOT bad GROUP BY source),
+g AS (SELECT source, avg(v) AS m, stddev_pop(v) AS s FROM r JOIN q USING (source) WHERE NOT bad AND abs(v - q.m) <= 8 * q.s GROUP BY source),
+w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, rec_id) - row_number() OVER (PARTITION BY source, v ORDER BY t, rec_id) AS run FROM r WHERE t IS NOT NULL),
+n AS (SELECT tab, rec_id, count(*) OVER (PARTITION BY source, v, run) AS n FROM w),
+f AS (SELECT tab, r.source, rec_id, coalesce(abs(v - m) > 8 * s, false) AS spike, coalesce(n >= 6, false) AS stuck, bad FROM r LEFT JOIN g USING (source) LEFT JOIN n USING (tab, rec_id))"""
+SQL["p3_found"] = f"{_P3} SELECT tab, rec_id FROM f WHERE spike OR stuck OR bad"
+SQL["p3_by_source"] = f"{_P3} SELECT source, count(*) FILTER (spike) AS n_spike, count(*) FILTER (stuck) AS n_stuck, count(*) FILTER (bad) AS n_impossible FROM f WHERE spike OR stuck OR bad GROUP BY source"
 
 _P5 = f"""WITH {LON_SQL}, {DIAG_SQL},
 c AS (SELECT 'obs' AS tab, obs_id AS rec_id, lon_east, bare_east FROM lon UNION ALL SELECT 'diag_ref', ref_id, lon_east, bare_east FROM dr UNION ALL SELECT 'diag_bas', bas_id, lon_east, bare_east FROM db)"""

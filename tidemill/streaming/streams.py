@@ -7,12 +7,10 @@ and nothing passes through the driver. Point the same functions at a longer-live
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.sources.tables import shared_dir
+from tidemill.sources.tables import new_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -27,7 +25,7 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is available into a table of the shared folder and read it back."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    at = new_folder(spark, f"stream-{name}")
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
