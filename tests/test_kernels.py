@@ -1,49 +1,14 @@
-"""Kernels and sparse operators: adjoints by dot products, analytic solutions, conservation."""
+"""Sparse operators, windows and statistics: adjoints by dot products, analytic solutions, brute force."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import basis, fill, kernels, segments, spatial, stats, windows
+from tidemill.operators import basis, blend, fill, segments, spatial, stats, windows
 
 RNG = np.random.default_rng(5)
 
 
-def test_helmholtz_residual():
-    rhs = RNG.standard_normal((9, 14))
-    psi = kernels.solve_helmholtz(rhs, 2.0, 3.0, 0.1)
-    assert np.allclose(kernels.laplacian(psi, 2.0, 3.0) - 0.1 * psi, rhs)
-
-
-def test_inversion_gives_the_height_back():
-    h, lat = RNG.standard_normal((8, 8)), np.linspace(30, 60, 8)
-    _, _, f = kernels._metrics(lat, 1.0)
-    assert np.allclose(kernels.invert(h, lat, 1.0), kernels.GRAVITY / f * h)
-
-
-@pytest.mark.parametrize("op", [kernels.diffuse, kernels.background_root])
-def test_operators_are_their_own_transpose(op):
-    x, y = RNG.standard_normal((2, 7, 9))
-    assert (op(x) * y).sum() == pytest.approx((x * op(y)).sum())
-
-
-def test_cost_gradient():
-    obs = RNG.standard_normal((4, 5, 6))
-    obs[RNG.random(obs.shape) < 0.5] = np.nan
-    x, d = RNG.standard_normal((2, 30))
-    j, g = kernels.cost_and_gradient(x, obs)
-    e = 1e-5
-    slope = (kernels.cost_and_gradient(x + e * d, obs)[0] - kernels.cost_and_gradient(x - e * d, obs)[0]) / (2 * e)
-    assert slope == pytest.approx(g @ d, rel=1e-6)
-    xi, after, _ = kernels.minimise(lambda v: kernels.cost_and_gradient(v, obs), np.zeros(30))
-    assert after < j and np.abs(kernels.cost_and_gradient(xi, obs)[1]).max() < 1e-2 * np.abs(kernels.cost_and_gradient(np.zeros(30), obs)[1]).max()
-
-
-def test_shallow_water_keeps_its_volume():
-    h = RNG.standard_normal((10, 12))
-    assert kernels.sw_hour(h, np.linspace(20, 30, 10), 1.0).sum() == pytest.approx(h.sum())
-
-
 def test_matvec_and_transpose_by_dot_product(spark):
     pts = spark.createDataFrame([(k, float(RNG.uniform(0, 2)), float(RNG.uniform(0, 2)), float(RNG.standard_normal())) for k in range(60)], "obs_id long, lat double, lon double, y double")
     cells = spark.createDataFrame([(k, float(k // 5) / 2, float(k % 5) / 2, float(RNG.standard_normal())) for k in range(25)], "cell_id long, lat double, lon double, x double")
@@ -99,12 +64,6 @@ def test_plane_fit_recovers_the_plane(spark):
     assert (got["s"].a, got["s"].b, got["s"].c) == pytest.approx((2, -1, 7)) and got["flat"].a is None
 
 
-def test_shallow_water_adjoint():
-    x, y = RNG.standard_normal((2, 9, 11))
-    lat = np.linspace(-40, -30, 9)
-    assert (kernels.sw_hour(x, lat, 0.2) * y).sum() == pytest.approx((x * kernels.sw_adjoint(y, lat, 0.2)).sum(), rel=1e-10)
-
-
 def test_half_a_step_keeps_every_reading(spark):
     df = spark.createDataFrame([(1, 900.0), (2, 1250.0), (3, 1349.0), (4, 1350.0), (5, 1351.0)], "obs_id long, ts double")
     got = {r.obs_id: (r.step, r.lag_s) for r in windows.nearest_step(df, 900.0, 0.0, 450.0).collect()}
@@ -134,19 +93,54 @@ def test_nearest_sample_at_any_distance(spark):
     assert got == sorted(want)
 
 
-def test_holes_see_the_other_side_of_seams_and_old_tile_edges(spark):
-    given = {(18, 11): 1.0, (18, 13): 3.0, (17, 12): 1.0, (19, 12): 3.0, (18, 71): 5.0, (18, 1): 7.0, (17, 0): 5.0, (19, 0): 7.0}
-    daily = spark.createDataFrame([(1, j, i, v) for (j, i), v in given.items()], "day long, j long, i long, y double")
-    got = {(r.j, r.i): (r.value, r.filled) for r in fill.on_globe(kernels.tiles(daily, 36, 72, 36, 72)).collect()}
-    assert len(got) == 36 * 72 and all(got[k] == (v, False) for k, v in given.items())
-    assert got[18, 12] == (pytest.approx(2.0), True) and got[18, 0] == (pytest.approx(6.0), True)
 
 
-def test_filled_map_is_settled_and_diffusion_crosses_the_seam():
-    h = np.where(RNG.random((36, 72)) < 0.03, RNG.standard_normal((36, 72)), np.nan)
-    x = fill.settle(h)
-    rest = fill._neighbours(x) / 4 - x
-    assert np.abs(rest[np.isnan(h)]).max() < 1e-8 and (x[~np.isnan(h)] == h[~np.isnan(h)]).all()
-    y = fill.diffused(x, 5)
-    assert y.sum() == pytest.approx(x.sum())
-    assert np.allclose(fill.diffused(np.roll(x, 7, axis=1), 5), np.roll(y, 7, axis=1))
+def test_windows_of_long_histories_against_brute_force(spark):
+    t = np.cumsum(RNG.integers(1, 4000, 400)).astype(float)
+    v = [None if x < 0.4 else float(x) for x in RNG.random(400)]
+    df = spark.createDataFrame([("a", k, a, b) for k, (a, b) in enumerate(zip(t.tolist(), v))] + [("none", 900, 1.0, None)], "k string, id long, ts double, v double")
+    got = {r.id: r.nearest for r in fill.nearest_in_time(df, "k", "ts", "id", "v", width=5000.0).collect()}
+    given = [(a, b) for a, b in zip(t, v) if b is not None]
+    assert got == {**{k: min(given, key=lambda g: (abs(g[0] - a), g[0]))[1] for k, a in enumerate(t)}, 900: None}
+
+
+def test_exact_median(spark):
+    x = [float(y) for y in np.round(RNG.standard_normal(501), 2)]
+    df = spark.createDataFrame([("a", y) for y in x] + [("b", y) for y in x[:100]] + [("c", 1.0), ("d", None)] + [("e", 2.0)] * 50, "k string, x double")
+    got = {r.k: r.median for r in stats.exact_median(df, ["k"], "x").collect()}
+    assert got == pytest.approx({"a": float(np.median(x)), "b": float(np.median(x[:100])), "c": 1.0, "e": 2.0})
+
+
+def test_handed_on_state(spark):
+    days = sorted({int(d) for d in RNG.integers(0, 900, 300)})
+    h = RNG.standard_normal(len(days)).tolist()
+    got = {r.d: r.state for r in blend.handed_on(spark.createDataFrame([("a", d, x) for d, x in zip(days, h)], "k string, d long, h double"), ["k"], "d", "h", 0.7, 0.3).collect()}
+    state, last = 0.0, days[0]
+    for d, x in zip(days, h):
+        state, last = 0.3 * x + 0.7 ** (d - last) * state, d
+        assert got[d] == pytest.approx(state, abs=1e-9)
+
+
+def test_distances_across_blocks(spark):
+    t = np.cumsum(RNG.choice([1.0, 50.0], 1000, p=[0.98, 0.02]))
+    df = spark.createDataFrame([("s", k, float(x), k / 1000, 0.0) for k, x in enumerate(t)], "source string, id long, ts double, lat double, lon double")
+    track = segments.sessions(df, "source", "ts", "id", 10.0, block=64, bin_s=60)
+    got = sorted((r.id, r.d, r.run) for r in segments.distances(track, "source", lambda a, b, c, d: c - a, block=64).collect())
+    run = 0.0
+    for k, (i, d, r) in enumerate(got):
+        begins = k == 0 or t[k] - t[k - 1] > 10
+        run = 0.0 if begins else run + 0.001
+        assert i == k and (d is None) == begins and r == pytest.approx(run, abs=1e-9)
+
+
+def test_multiquadric_reproduces_the_sources(spark):
+    src = spark.createDataFrame([(k, float(k % 5) / 5, float(k // 5) / 5, float(k)) for k in range(25)], "obs_id long, lat double, lon double, v double")
+    at = spark.createDataFrame([(7, 2 / 5, 1 / 5), (12, 2 / 5, 2 / 5)], "cell_id long, lat double, lon double")
+    got = {r.cell_id: r.v for r in fill.multiquadric(src, at, 11, 600.0, "v", "obs_id", "cell_id").collect()}
+    assert got == {7: pytest.approx(7.0, abs=1e-6), 12: pytest.approx(12.0, abs=1e-6)}
+
+
+def test_wavelets_cross_the_zero_meridian(spark):
+    cells = spark.createDataFrame([(18, i) for i in (71, 0, 1, 40)], "j long, i long").withColumn("lat", (F.col("j") + 0.5) * 5 - 90).withColumn("lon", (F.col("i") + 0.5) * 5)
+    gx = basis.gx(spark.createDataFrame([(0, 0, 0, 0.0, 1.0, 1500.0)], "iff int, pj long, pi long, lat0 double, lon0 double, half double"), cells, 5.0, 1)
+    assert {r.i for r in gx.collect()} == {71, 0, 1}

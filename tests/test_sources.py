@@ -52,6 +52,39 @@ def test_release_deletes_left_tables(spark):
     assert df.count() == 3 and tables.release(spark) >= 1 and tables.release(spark) == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Session())
+    Session.sparkContext.master = "local[4]"
+    assert tables.shared_dir(Session()).startswith("file://")
+
+
+def test_once_makes_again_what_was_released(spark):
+    made = []
+
+    def make():
+        made.append(1)
+        return (tables.materialize(spark.range(5), "once"),)
+
+    for _ in range(2):
+        assert tables.once(spark, ("t",), make)[0].count() == 5
+    tables.release(spark)
+    assert tables.once(spark, ("t",), make)[0].count() == 5 and len(made) == 2
+
+
 def test_broadcast_only_when_small(spark):
     small, large = tables.broadcast_if_small(spark.range(3)), tables.broadcast_if_small(spark.range(30), rows=10)
     plan = lambda d: d._jdf.queryExecution().logical().toString()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import cos2_window, gaspari_cohn
@@ -25,6 +25,18 @@ def scales(longest_km: float, shortest_km: float, ratio: float) -> list[float]:
     return out
 
 
+def _columns(west: Column, east: Column, cell_deg: float) -> Column:
+    """The map's columns between two longitudes, across the zero meridian if need be; each once, all where the span is the globe."""
+    n = round(360 / cell_deg)
+    a, b = F.floor(west / cell_deg), F.floor(east / cell_deg)
+    return F.when(b - a + 1 >= n, F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.transform(F.sequence(a, F.least(b, a + n)), lambda i: F.pmod(i, F.lit(n).cast("long"))))
+
+
+def _east(d: Column) -> Column:
+    """A difference of longitudes within -180..180."""
+    return F.pmod(d + 180, F.lit(360.0)) - 180
+
+
 def centres(cells: DataFrame, cell_deg: float, ladder: list[float]) -> DataFrame:
     """iff, pj, pi, lat0, lon0, half: the lattice points within half a wavelength of a cell that holds data.
 
@@ -46,9 +58,9 @@ def gx(wave: DataFrame, cells: DataFrame, cell_deg: float, n_theta: int) -> Data
     """
     a = wave.withColumn("dlat", F.col("half") / KM_PER_DEG).withColumn("dlon", F.col("half") / (KM_PER_DEG * F.cos(F.radians("lat0"))))
     a = a.withColumn("j", F.explode(F.sequence(F.floor((F.col("lat0") - F.col("dlat") + 90) / cell_deg), F.floor((F.col("lat0") + F.col("dlat") + 90) / cell_deg))))
-    a = a.withColumn("i", F.explode(F.sequence(F.floor((F.col("lon0") - F.col("dlon")) / cell_deg), F.floor((F.col("lon0") + F.col("dlon")) / cell_deg))))
+    a = a.withColumn("i", F.explode(_columns(F.col("lon0") - F.col("dlon"), F.col("lon0") + F.col("dlon"), cell_deg)))
     b = a.join(cells.select("j", "i", "lat", "lon"), ["j", "i"])
-    x, y = (F.col("lon") - F.col("lon0")) * KM_PER_DEG * F.cos(F.radians("lat0")), (F.col("lat") - F.col("lat0")) * KM_PER_DEG
+    x, y = _east(F.col("lon") - F.col("lon0")) * KM_PER_DEG * F.cos(F.radians("lat0")), (F.col("lat") - F.col("lat0")) * KM_PER_DEG
     b = b.withColumn("x", x).withColumn("y", y).filter((F.abs("x") <= F.col("half")) & (F.abs("y") <= F.col("half")))
     kinds = F.array(*[F.struct(F.lit(t).alias("itheta"), F.lit(p).alias("phase")) for t in range(n_theta) for p in (0, 1)])
     b = b.withColumn("d", F.explode(kinds)).select("*", "d.itheta", "d.phase")
@@ -89,13 +101,14 @@ def spectral_laws(wave: DataFrame, longest_km: float, q_max: float, q_slope: flo
 def bumps(cells: DataFrame, step: float, support: float, cell_deg: float) -> DataFrame:
     """pj, pi, j, i, w of the basis without directions: compact correlation functions of ``support`` degrees on a lattice of ``step``.
 
-    Each centre enumerates the cells of its box, so the join is on the cell.
+    Each centre enumerates the cells of its box, so the join is on the cell. ``step`` divides 360.
     """
-    c = cells.select(F.floor(F.col("lat") / step + 0.5).alias("pj"), F.floor(F.col("lon") / step + 0.5).alias("pi")).distinct()
-    span = lambda at, off: F.sequence(F.floor((at * step - support + off) / cell_deg), F.floor((at * step + support + off) / cell_deg))
-    c = c.withColumn("j", F.explode(span(F.col("pj"), 90.0))).withColumn("i", F.explode(span(F.col("pi"), 0.0)))
+    c = cells.select(F.floor(F.col("lat") / step + 0.5).alias("pj"), F.pmod(F.floor(F.col("lon") / step + 0.5), F.lit(round(360 / step)).cast("long")).alias("pi")).distinct()
+    at = F.col("pj") * step + 90
+    c = c.withColumn("j", F.explode(F.sequence(F.floor((at - support) / cell_deg), F.floor((at + support) / cell_deg))))
+    c = c.withColumn("i", F.explode(_columns(F.col("pi") * step - support, F.col("pi") * step + support, cell_deg)))
     b = c.join(cells.select("j", "i", "lat", "lon"), ["j", "i"])
-    y, x = F.col("lat") - F.col("pj") * step, F.col("lon") - F.col("pi") * step
+    y, x = F.col("lat") - F.col("pj") * step, _east(F.col("lon") - F.col("pi") * step)
     return b.filter((F.abs(x) < support) & (F.abs(y) < support)).select("pj", "pi", "j", "i", (gaspari_cohn(x, support) * gaspari_cohn(y, support)).alias("w"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import hann
@@ -31,3 +34,20 @@ def sub_windows(df: DataFrame, days: float, degrees: float) -> DataFrame:
     g = g.withColumn("xw", F.explode(F.sequence(F.lit(0), F.lit(int(360 / half_g) - 1))))
     lo = lambda c, h: (F.col(c) * h).cast("double")
     return g.select("tw", "yw", "xw", lo("tw", half_d).alias("day0"), (lo("tw", half_d) + days).alias("day1"), lo("yw", half_g).alias("lat0"), (lo("yw", half_g) + degrees).alias("lat1"), lo("xw", half_g).alias("lon0"), (lo("xw", half_g) + degrees).alias("lon1"))
+
+
+def handed_on(df: DataFrame, keys: list[str], step: str, value: str, keep: float, gain: float, block: int = 64) -> DataFrame:
+    """keys, step, state of each row: a state handed from step to step, of which ``keep`` is left after each step, plus
+    ``gain`` times the row's value.
+
+    The state is a sum of values weighted by age. Steps are cut into blocks that also hold the steps before them as far
+    as these still weigh in double precision, so a key's history of any length is spread over groups of bounded size.
+    ``step`` is a whole number, at most one row of a key has it, and 0 < keep < 1.
+    """
+    reach = max(1, math.ceil(math.log(1e-19) / math.log(keep) / block))
+    own = F.floor(F.col(step) / block)
+    b = df.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, own + reach)))
+    age = F.col(step) - F.col("_block") * block
+    k = F.lit(float(keep))
+    so_far = F.sum(gain * F.col(value) * F.pow(k, -age)).over(W.partitionBy(*keys, "_block").orderBy(step))
+    return b.withColumn("state", so_far * F.pow(k, age)).filter("_own = _block").select(*keys, step, "state")

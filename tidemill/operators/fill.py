@@ -1,8 +1,8 @@
-"""Filling and further regridding: nearest in time, kernels over nearest readings, triangles, relaxation, 2-D spectra."""
+"""Filling and further regridding: nearest in time, kernels over nearest readings, triangles, relaxation."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,17 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.operators import kernels
+from tidemill.operators.blocks import around
 from tidemill.operators.spatial import near_cells
 
 
-def nearest_in_time(df: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
+def nearest_in_time(df: DataFrame, key: str, at: str, tie: str, value: str, width: float = 86400.0) -> DataFrame:
     """Add ``nearest``: the value, or the valid one nearest in time of the same key, the earlier on ties; null if there is none."""
-    back = W.partitionBy(key).orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key).orderBy(F.desc(at), F.desc(tie)).rowsBetween(W.unboundedPreceding, 0)
-    valid = F.when(F.col(value).isNotNull(), F.col(at))
-    df = df.withColumns({"_v0": F.last(value, True).over(back), "_t0": F.last(valid, True).over(back)})
-    df = df.withColumns({"_v1": F.last(value, True).over(ahead), "_t1": F.last(valid, True).over(ahead)})
+    df = around(df, [key], at, tie, value, width)
     near = F.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).when(F.col(at) - F.col("_t0") <= F.col("_t1") - F.col(at), F.col("_v0")).otherwise(F.col("_v1"))
     return df.withColumn("nearest", near).drop("_v0", "_t0", "_v1", "_t1")
 
@@ -41,13 +37,17 @@ def multiquadric(sources: DataFrame, targets: DataFrame, k: int, radius_km: floa
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for px, py, v in zip(part["x"], part["y"], part["v"]):
-                d2 = (px[:, None] - px) ** 2 + (py[:, None] - py) ** 2
-                eps2 = max(float(d2.mean()), 1e-6)
-                w = np.linalg.lstsq(np.sqrt(d2 + eps2), v, rcond=None)[0]
-                out.append(float(np.sqrt(px**2 + py**2 + eps2) @ w))
-            yield pd.DataFrame({target: part[target], value: np.asarray(out, float)})
+            size = part["v"].map(len).to_numpy()
+            out = np.empty(len(part))
+            for n in np.unique(size):  # at most k sizes; all systems of a size are solved at once
+                rows = np.flatnonzero(size == n)
+                px, py, v = (np.stack(part[c].to_numpy()[rows]) for c in "xyv")
+                d2 = (px[:, :, None] - px[:, None, :]) ** 2 + (py[:, :, None] - py[:, None, :]) ** 2
+                eps2 = np.maximum(d2.mean(axis=(1, 2)), 1e-6)
+                # sources at one place make a singular system: the pseudo-inverse gives them equal weights
+                w = (np.linalg.pinv(np.sqrt(d2 + eps2[:, None, None]), rcond=1e-12) @ v[:, :, None])[:, :, 0]
+                out[rows] = (np.sqrt(px**2 + py**2 + eps2[:, None]) * w).sum(axis=1)
+            yield pd.DataFrame({target: part[target], value: out})
 
     return sets.mapInPandas(run, f"{target} long, {value} double")
 
@@ -66,90 +66,3 @@ def on_triangles(points: DataFrame, grid: DataFrame, cell: float, value: str, po
     asked = p.select(point, F.explode(three).alias("c")).select(point, "c.*")
     found = asked.join(grid.select("j", "i", F.col(value).alias("_g")), ["j", "i"])
     return found.groupBy(point).agg(F.sum(F.col("w") * F.col("_g")).alias("value"), F.count("_g").alias("_n")).filter("_n = 3").drop("_n")
-
-
-def balanced_and_tide(h: np.ndarray, lat: np.ndarray, cell: float) -> np.ndarray:
-    """Two models side by side: the smooth part moves in balance, what is left as a wave; the heights are added."""
-    smooth = kernels.diffuse(kernels.diffuse(h))
-    return kernels.qg_day(smooth, lat, cell) + kernels.sw_hour(h - smooth, lat, cell)
-
-
-def _dense(r) -> np.ndarray:
-    h = np.full((r.rows, r.cols), np.nan)
-    for c in r.cells:
-        h[c["j"], c["i"]] = c["y"]
-    return h
-
-
-def _around(x: np.ndarray) -> np.ndarray:
-    """A ring around a map of the globe: the other side of the seam in longitude, no flux at the poles."""
-    return np.pad(np.pad(x, ((0, 0), (1, 1)), mode="wrap"), ((1, 1), (0, 0)), mode="edge")
-
-
-def _neighbours(x: np.ndarray) -> np.ndarray:
-    p = _around(x)
-    return p[1:-1, 2:] + p[1:-1, :-2] + p[2:, 1:-1] + p[:-2, 1:-1]
-
-
-def settle(h: np.ndarray, rtol: float = 1e-10) -> np.ndarray:
-    """A map of the globe, an even number of columns wide, whose holes (NaN) are the mean of their neighbours; values given stay.
-
-    Over-relaxation by the colours of a chessboard, which converges for any holes beside at least one value; it goes on
-    until no cell moves by more than ``rtol`` of the largest value.
-    """
-    hole = np.isnan(h)
-    x = np.where(hole, np.nanmean(h), h)
-    black = np.add.outer(*map(np.arange, h.shape)) % 2 == 0
-    rows = np.arange(h.shape[0])[:, None]
-    own = (rows == 0).astype(float) + (rows == h.shape[0] - 1)  # sides at the poles, where the ring repeats the cell
-    omega, limit = 2 / (1 + np.sin(np.pi / max(h.shape))), rtol * max(float(np.nanmax(np.abs(h))), 1e-12)
-    moved = np.inf if hole.any() else 0.0
-    while moved > limit:
-        moved = 0.0
-        for colour in (black, ~black):
-            step = np.where(hole & colour, omega * ((_neighbours(x) - own * x) / (4 - own) - x), 0.0)
-            x = x + step
-            moved = max(moved, float(np.abs(step).max()))
-    return x
-
-
-def diffused(h: np.ndarray, steps: int, kappa: float = 0.15, forcing: float = 0.0, low: float = -np.inf) -> np.ndarray:
-    """Explicit steps of diffusion on a map of the globe, each adding ``forcing`` of the first map and held above ``low``."""
-    x = h
-    for _ in range(steps):
-        x = np.maximum(x + kappa * (_neighbours(x) - 4 * x) + forcing * h, low)
-    return x
-
-
-def on_globe(maps: DataFrame, kernel: Callable = lambda h: h) -> DataFrame:
-    """day, j, i, value, filled: kernel(h) of each day's map of the whole globe, its missing cells filled by ``settle`` first.
-
-    ``maps``: tiles as large as the globe, so no cell lies on a tile's rim. A map has as many cells as the grid, whatever the input.
-    """
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                h = _dense(r)
-                j, i = np.divmod(np.arange(h.size), r.cols)
-                yield pd.DataFrame({"day": r.day, "j": j, "i": i, "value": kernel(settle(h)).ravel(), "filled": np.isnan(h).ravel()})
-
-    return maps.mapInPandas(run, "day long, j long, i long, value double, filled boolean")
-
-
-def isotropic_spectra(tiles: DataFrame, cell: float) -> DataFrame:
-    """day, tj, ti, ring, psd: windowed spectrum of each tile (mean taken out, missing cells 0), averaged by ring of wavenumber."""
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                h = _dense(r)
-                h = np.nan_to_num(h - np.nanmean(h))
-                w = np.hanning(r.rows + 2)[1:-1, None] * np.hanning(r.cols + 2)[1:-1]
-                p = np.abs(np.fft.fft2(h * w)) ** 2 * cell**2 / (w**2).sum()
-                k = np.hypot(np.fft.fftfreq(r.rows)[:, None] * r.rows, np.fft.fftfreq(r.cols) * r.cols).round().astype(int)
-                n = min(r.rows, r.cols) // 2
-                psd = np.bincount(k.ravel(), p.ravel())[1 : n + 1] / np.bincount(k.ravel())[1 : n + 1]
-                yield pd.DataFrame({"day": r.day, "tj": r.tj, "ti": r.ti, "ring": np.arange(1, n + 1), "psd": psd})
-
-    return tiles.mapInPandas(run, "day long, tj long, ti long, ring long, psd double")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.operators.blocks import ranked
+from tidemill.sources.tables import materialize
+
 
 def rename_roles(df: DataFrame, roles: dict[str, str], keep: list[str]) -> DataFrame:
     """Project a file's variables to their roles; columns that have no role are pruned from the scan."""
@@ -49,7 +52,23 @@ def block_mean(df: DataFrame, group: list[str], order: list[str], k: int, cols:
     return means.filter(F.col("_n") == k).drop("_n")
 
 
-def stride(df: DataFrame, group: list[str], order: str, k: int) -> DataFrame:
-    """Every k-th distinct value of ``order`` in each group; adds ``step``."""
-    step = F.dense_rank().over(W.partitionBy(*group).orderBy(order)) - 1
-    return df.withColumn("step", step).filter(F.col("step") % k == 0)
+def stride(df: DataFrame, group: list[str], order: str, k: int, width: float = 86400.0) -> DataFrame:
+    """Every k-th distinct value of ``order`` (seconds) in each group; adds ``step``. Values are ranked in bins of ``width``."""
+    times = materialize(df.select(*group, order).distinct(), "times")
+    steps = ranked(times, group, F.floor(F.col(order) / width), [order]).withColumnRenamed("rank", "step")
+    return df.join(steps.filter(F.col("step") % k == 0), [*group, order])
+
+
+def block_mean_2d(df: DataFrame, group: list[str], row: Column, col: Column, k: int, cols: list[str]) -> DataFrame:
+    """Means over blocks of k x k of a swath laid out as a matrix: rows are the distinct values of ``row`` in the group, columns
+    those of ``col``. Nulls are left out of a mean; incomplete blocks at the ends are trimmed. Groups should be short windows.
+
+    Returns group, block_row, block_col, n (rows of the block) and the means of ``cols``, coordinates among them.
+    """
+    df = df.withColumns({"_r": row, "_c": col})
+    over = lambda c: W.partitionBy(*group).orderBy(c)
+    df = df.withColumns({"_ri": F.dense_rank().over(over("_r")) - 1, "_ci": F.dense_rank().over(over("_c")) - 1})
+    size = df.groupBy(*group).agg(F.floor((F.max("_ri") + 1) / k).alias("_nr"), F.floor((F.max("_ci") + 1) / k).alias("_nc"))
+    b = df.withColumns({"block_row": F.floor(F.col("_ri") / k), "block_col": F.floor(F.col("_ci") / k)}).join(size, group)
+    b = b.filter((F.col("block_row") < F.col("_nr")) & (F.col("block_col") < F.col("_nc")))
+    return b.groupBy(*group, "block_row", "block_col").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols])

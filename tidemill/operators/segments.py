@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.operators.blocks import ranked, with_halo
 from tidemill.sources.tables import materialize
 
+BLOCK = 50000  # ranked rows of a source that one task holds
 
-def sessions(df: DataFrame, source: str, at: str, tie: str, gap_s: float, block: int = 50000, bin_s: int = 3600) -> DataFrame:
-    """Add seg (0, 1, ...) and pos to each row: a new segment begins where more than ``gap_s`` lie before a row.
+
+def sessions(df: DataFrame, source: str, at: str, tie: str, gap_s: float, block: int = BLOCK, bin_s: int = 3600) -> DataFrame:
+    """Add seg (0, 1, ...), pos, rank and block to each row: a new segment begins where more than ``gap_s`` lie before a row.
 
     Exact for sources of any length: rows are ranked by bins, the step before each is taken in blocks that overlap by
     one row, and segments are numbered by cumulating the blocks' counts. No window holds a whole source.
     """
     df = materialize(df, "track")
     r = ranked(df, [source], F.floor(F.col(at) / bin_s), [at, tie])
-    cut = with_halo(r, block, 1)
     by = W.partitionBy(source, "block").orderBy("rank")
     new = F.coalesce((F.col(at) - F.lag(at).over(by) > gap_s).cast("int"), F.lit(0))
-    cut = materialize(cut.withColumn("_new", new).filter("own"), "steps")
-    counts = cut.groupBy(source, "block").agg(F.sum("_new").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(source).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offset = counts.select(source, "block", before.alias("_before"))
+    cut = materialize(with_halo(r, block, 1).withColumn("_new", new).filter("own").drop("own"), "steps")
+    begins = F.when(F.col("_new") == 1, F.col("rank"))
+    # of the blocks before: how many segments began, and where the last one did
+    earlier = W.partitionBy(source).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offset = cut.groupBy(source, "block").agg(F.sum("_new").alias("_n"), F.max(begins).alias("_last"))
+    offset = offset.select(source, "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.coalesce(F.max("_last").over(earlier), F.lit(0)).alias("_first"))
     out = cut.join(offset, [source, "block"]).withColumn("seg", F.col("_before") + F.sum("_new").over(by))
-    starts = out.groupBy(source, "seg").agg(F.min("rank").alias("_first"))
-    out = out.join(starts, [source, "seg"]).withColumn("pos", F.col("rank") - F.col("_first"))
-    return out.drop("_new", "own", "_before", "_first", "block")
+    out = out.withColumn("pos", F.col("rank") - F.coalesce(F.max(begins).over(by), F.col("_first")))
+    return out.drop("_new", "_before", "_first")
+
+
+def distances(track: DataFrame, source: str, step: Callable[[Column, Column, Column, Column], Column], block: int = BLOCK) -> DataFrame:
+    """Rows of ``sessions`` with d: ``step`` (lat, lon of the row before, lat, lon), null at the start of a segment, and run: d
+    cumulated along the segment.
+
+    ``block`` is that of ``sessions``. The row before is looked up in blocks that overlap by one row, and blocks are cumulated by segment, so that a
+    segment of any length is spread over tasks.
+    """
+    edge = track.filter(F.col("rank") + 1 == (F.col("block") + 1) * block).select(source, (F.col("block") + 1).alias("block"), "rank", "seg", "lat", "lon", F.lit(False).alias("own"))
+    both = track.withColumn("own", F.lit(True)).unionByName(edge, allowMissingColumns=True)
+    by = W.partitionBy(source, "block").orderBy("rank")
+    same = F.lag("seg").over(by) == F.col("seg")
+    d = F.when(same, step(F.lag("lat").over(by), F.lag("lon").over(by), F.col("lat"), F.col("lon")))
+    out = materialize(both.withColumn("d", d).filter("own").drop("own"), "steps")
+    whole = out.groupBy(source, "seg", "block").agg(F.sum("d").alias("_d"))
+    before = whole.select(source, "seg", "block", F.coalesce(F.sum("_d").over(W.partitionBy(source, "seg").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    run = F.col("_before") + F.coalesce(F.sum("d").over(W.partitionBy(source, "seg", "block").orderBy("rank")), F.lit(0.0))
+    return out.join(before, [source, "seg", "block"]).withColumn("run", run).drop("_before")
 
 
 def sub_segments(df: DataFrame, keys: list[str], npt: int, stride: int, cols: list[str]) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.sources.tables import materialize
+
 
 def moments(x: str) -> list[Column]:
     """mean, min, max, count, population variance, median and rms of the given values."""
@@ -15,11 +18,26 @@ def moments(x: str) -> list[Column]:
 
 
 def resample(df: DataFrame, keys: list[str], x: str, width_s: int = 86400, at: str = "ts") -> DataFrame:
-    """Statistics for each time bin and key; adds bin (number of the bin since 1970) and an approximate-free median.
+    """Statistics for each time bin and key; adds bin (number of the bin since 1970) and the exact median."""
+    df = materialize(df.select(*keys, F.floor(F.col(at) / width_s).alias("bin"), x), "values")
+    return df.groupBy(*keys, "bin").agg(*moments(x)).join(exact_median(df, [*keys, "bin"], x), [*keys, "bin"], "left")
+
+
+def exact_median(df: DataFrame, keys: list[str], x: str, width: float = 0.01) -> DataFrame:
+    """keys, median, of the given values, without a state that holds them.
 
-    The median is exact (percentile), whose state grows with the distinct values of a bin; all else is constant.
+    Distinct values are counted, counts are cumulated over bins of ``width``, and only the one or two bins that hold the
+    middle ranks are put in order. ``df`` should be a table.
     """
-    return df.groupBy(*keys, F.floor(F.col(at) / width_s).alias("bin")).agg(*moments(x), F.median(x).alias("median"))
+    seen = materialize(df.filter(F.col(x).isNotNull()).groupBy(*keys, F.floor(F.col(x) / width).alias("_b"), F.col(x).alias("_x")).agg(F.count("*").alias("_c")), "seen")
+    bins = seen.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumns({"_before": before, "_all": F.sum("_n").over(W.partitionBy(*keys))})
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))))
+    bins = bins.withColumn("_rank", middle).filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    up_to = F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_b", "_rank").orderBy("_x"))
+    hit = seen.join(bins.select(*keys, "_b", "_before", "_rank"), [*keys, "_b"]).withColumn("_to", up_to).filter((F.col("_to") > F.col("_rank")) & (F.col("_to") - F.col("_c") <= F.col("_rank")))
+    return hit.groupBy(*keys).agg(F.avg("_x").alias("median"))
 
 
 def with_empty_bins(stats: DataFrame, keys: list[str], at: str = "bin") -> DataFrame:
@@ -81,3 +99,23 @@ def window_norm(decay: float, steps: int = 50) -> float:
         total += math.cos(math.pi / 2 * (-1 + 2 * s / (steps - 1))) ** 2 * 2 * decay / (steps - 1)
         best = max(best, total)
     return best
+
+
+def plane_fit_3d(df: DataFrame, keys: list[str], axes: tuple[str, str, str], z: str) -> DataFrame:
+    """Least-squares z = a x + b y + c t + d of each key, from centred sums in one pass of partial aggregates (Cramer's rule);
+    null where the axes do not span the space."""
+    x, y, t = axes
+    cov = {f"{p}{q}": F.covar_pop(p, q).alias(f"_{k}{m}") for k, p in zip("xyt", axes) for m, q in zip("xyt", axes)}
+    right = [F.covar_pop(p, z).alias(f"_{k}z") for k, p in zip("xyt", axes)]
+    m = df.groupBy(*keys).agg(*cov.values(), *right, *[F.avg(p).alias(f"_m{k}") for k, p in zip("xytz", (*axes, z))], F.count("*").alias("n"))
+    c = lambda k: F.col(f"_{k}")
+
+    def det(a: list[str], b: list[str], d: list[str]) -> Column:
+        return c(a[0]) * (c(b[1]) * c(d[2]) - c(b[2]) * c(d[1])) - c(a[1]) * (c(b[0]) * c(d[2]) - c(b[2]) * c(d[0])) + c(a[2]) * (c(b[0]) * c(d[1]) - c(b[1]) * c(d[0]))
+
+    rows = [[f"{p}{q}" for q in "xyt"] for p in "xyt"]
+    whole = det(*rows)
+    whole = F.when(whole > 1e-9 * c("xx") * c("yy") * c("tt"), whole)
+    swap = lambda k: det(*[[f"{p}z" if n == k else q for n, q in enumerate(r)] for p, r in zip("xyt", rows)])
+    m = m.withColumns({name: swap(k) / whole for k, name in enumerate(("a", "b", "c"))})
+    return m.withColumn("d", c("mz") - F.col("a") * c("mx") - F.col("b") * c("my") - F.col("c") * c("mt")).select(*keys, "a", "b", "c", "d", "n")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.operators.blocks import around
+
 
 def assign_windows(df: DataFrame, width_s: int, at: str = "ts") -> DataFrame:
     """Half-open windows centred on multiples of the width: each row falls into one; adds window_ts. No shuffle."""
@@ -45,41 +46,33 @@ def nearest_rows(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt:
     return j.groupBy(*keys).agg(best).select(*keys, F.col("m._rt").alias("near_t"), F.col("m._v").alias("near_v"))
 
 
+def _samples_and_targets(targets: DataFrame, samples: DataFrame, on: list[str], lt: str, rt: str, value: str) -> DataFrame:
+    """One relation of both, with _target 0 for samples and 1 for targets, _t and _v; targets keep their other columns."""
+    extra = [c for c in targets.columns if c not in on]
+    s = samples.filter(F.col(value).isNotNull()).select(*on, F.col(rt).alias("_t"), F.lit(0).alias("_target"), F.col(value).cast("double").alias("_v"))
+    t = targets.select(*on, F.col(lt).alias("_t"), F.lit(1).alias("_target"), F.lit(None).cast("double").alias("_v"), *extra)
+    return s.unionByName(t, allowMissingColumns=True)
+
+
 def nearest_sample(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt: str, value: str, width: float) -> DataFrame:
     """For each left row the right row of the same key that is nearest in time, however far, the earlier on ties.
 
-    Each sample owns the times nearer to it than to the samples before and after it, and is copied to the buckets of
-    ``width`` seconds that these touch; a left row meets one sample, by equi-join on key and bucket. The first and the
-    last sample of a key reach to the ends of all samples' buckets, into which left rows beyond them are clamped. Of
-    samples of one key and time the smallest value holds. Left rows whose key has no value are left out.
+    The samples around each left row are found in buckets of ``width`` seconds. Of samples of one key and time the smallest
+    value holds. Left rows whose key has no value are left out.
     """
-    by = W.partitionBy(*on).orderBy("_rt")
-    s = right.filter(F.col(value).isNotNull()).groupBy(*on, F.col(rt).alias("_rt")).agg(F.min(value).alias("_v"))
-    s = s.withColumns({"_p": F.lag("_rt").over(by), "_n": F.lead("_rt").over(by)})
-    ends = right.filter(F.col(value).isNotNull()).agg(F.floor(F.min(rt) / width).alias("_b0"), F.floor(F.max(rt) / width).alias("_b1"))
-    low = F.coalesce(F.floor((F.col("_p") + F.col("_rt")) / (2 * width)), F.col("_b0"))
-    high = F.coalesce(F.floor((F.col("_rt") + F.col("_n")) / (2 * width)), F.col("_b1"))
-    r_ = s.join(F.broadcast(ends)).withColumn("_b", F.explode(F.sequence(low, high))).drop("_b0", "_b1")  # one row
-    l_ = left.join(F.broadcast(ends)).withColumn("_b", F.least(F.greatest(F.floor(F.col(lt) / width), F.col("_b0")), F.col("_b1")))
-    d = F.abs(F.col(lt) - F.col("_rt"))
-    after = F.col("_p").isNull() | (d < F.abs(F.col(lt) - F.col("_p")))
-    before = F.col("_n").isNull() | (d <= F.abs(F.col("_n") - F.col(lt)))
-    return l_.join(r_, [*on, "_b"]).filter(after & before).select(*left.columns, F.col("_rt").alias("near_t"), F.col("_v").alias("near_v"))
-
-
-def lerp_in_time(targets: DataFrame, samples: DataFrame, on: list[str], value: str) -> DataFrame:
+    one = right.filter(F.col(value).isNotNull()).groupBy(*on, rt).agg(F.min(value).alias(value))
+    u = around(_samples_and_targets(left, one, on, lt, rt, value), on, "_t", "_target", "_v", width).filter("_target = 1 and (_t0 is not null or _t1 is not null)")
+    first = F.col("_t1").isNull() | (F.col("_t") - F.col("_t0") <= F.col("_t1") - F.col("_t"))
+    pick = lambda c: F.when(F.col("_t0").isNotNull() & first, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
+    return u.select(*left.columns, pick("_t").alias("near_t"), pick("_v").alias("near_v"))
+
+
+def lerp_in_time(targets: DataFrame, samples: DataFrame, on: list[str], value: str, width: float = 86400.0) -> DataFrame:
     """Linear interpolation of ``value`` (samples: on, ts, value) at the targets' (on, ts); held constant outside.
 
-    One union, one window per key: the last sample at or before and the first at or after each target.
+    One union; the last sample at or before and the first at or after each target are found in buckets of ``width`` seconds.
     """
-    s = samples.select(*on, "ts", F.col(value).alias("_v"), F.lit(0).alias("_target"))
-    t = targets.select(*on, "ts", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_target"))
-    order = W.partitionBy(*on).orderBy("ts", "_target")
-    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*on).orderBy(F.desc("ts"), "_target").rowsBetween(W.unboundedPreceding, 0)
-    sample_t = F.when(F.col("_target") == 0, F.col("ts"))
-    u = s.unionByName(t)
-    u = u.withColumn("_t0", F.last(sample_t, True).over(back)).withColumn("_v0", F.last("_v", True).over(back))
-    u = u.withColumn("_t1", F.last(sample_t, True).over(ahead)).withColumn("_v1", F.last("_v", True).over(ahead))
-    alpha = F.when(F.col("_t1") > F.col("_t0"), (F.col("ts") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))).otherwise(0.0)
+    u = around(_samples_and_targets(targets.select(*on, "ts"), samples, on, "ts", "ts", value), on, "_t", "_target", "_v", width).filter("_target = 1")
+    alpha = F.when(F.col("_t1") > F.col("_t0"), (F.col("_t") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))).otherwise(0.0)
     lerp = F.col("_v0") + alpha * (F.col("_v1") - F.col("_v0"))
-    return u.filter("_target = 1").select(*on, "ts", F.coalesce(lerp, F.col("_v0"), F.col("_v1")).alias("v"))
+    return u.select(*on, "ts", F.coalesce(lerp, F.col("_v0"), F.col("_v1")).alias("v"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import units
 from tidemill.operators.readings import distinct_readings, with_known_time
 from tidemill.operators.regrid import seconds
-from tidemill.sources.tables import nan_to_null, once, table
+from tidemill.sources.tables import materialize, nan_to_null, once, table
 
 
 class Registry:
@@ -65,6 +65,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``readings`` as a table, for queries that use it more than once: obs is scanned and reduced once."""
+    return materialize(readings(spark, sf_dir), "readings")
+
+
 _TOKEN = r"(millionths of a degree|scale_factor=1e-0?6|microdegrees?|1e-6|10\^-6|udeg|minutes of arc|min of arc|arc[_ ]minutes?|arcmin|radians?|rad|degrees?_east|degrees?_west|degrees?|deg)"
 
 
@@ -143,9 +148,9 @@ CELL = 5.0  # degrees of the map made from the readings
 NI, NJ = int(360 / CELL), int(180 / CELL)
 
 
-def field(spark: SparkSession, sf_dir: str, by_day: bool = False) -> DataFrame:
+def field(r: DataFrame, by_day: bool = False) -> DataFrame:
     """The map made from the readings: (day,) j, i, lat, lon of the cell's middle, h (mean of |v| < 5), n."""
-    r = readings(spark, sf_dir).filter(F.abs("v") < 5)
+    r = r.filter(F.abs("v") < 5)
     j, i = F.least(F.floor((F.col("lat") + 90) / CELL), F.lit(NJ - 1)), F.floor(F.col("lon") / CELL)
     keys = [*([F.date_trunc("day", "t").alias("day")] if by_day else []), j.alias("j"), i.alias("i")]
     g = r.groupBy(*keys).agg(F.avg("v").alias("h"), F.count("*").alias("n"))

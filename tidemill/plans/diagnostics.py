@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.operators import segments, stats
 from tidemill.operators.proximity import great_circle_km
 from tidemill.plans.base import CELL, NJ, R_SQL, Registry, q6, r6, readings
-from tidemill.sources.tables import table
+from tidemill.sources.tables import materialize, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -39,10 +39,10 @@ def bin2d_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({c: r6(c) for c in ("min", "max", "mean", "variance")} | {c: r6(c, 1e4) for c in ("sum", "skewness", "kurtosis")})
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(r: DataFrame) -> DataFrame:
     """run, obs_id, sensor, ts, lat, lon, ref, exp: the map of the nadir sensors ('experiment') and its zonal mean ('baseline')
     at the readings of the swath sensors, which are withheld from it."""
-    r = readings(spark, sf_dir).filter(F.abs("v") < 5)
+    r = materialize(r.filter(F.abs("v") < 5).select("obs_id", "sensor", "obs_class", "ts", "lat", "lon", "v"), "readings")  # used four times
     j, i = F.least(F.floor((F.col("lat") + 90) / CELL), F.lit(NJ - 1)), F.floor(F.col("lon") / CELL)
     r = r.withColumn("j", j).withColumn("i", i)
     made, ref = r.filter("obs_class = 'OBS_SSH_NADIR'"), r.filter("obs_class = 'OBS_SSH_SWATH'").withColumnRenamed("v", "ref")
@@ -61,25 +61,25 @@ _D = f"{E_SQL}, d AS (SELECT run, CAST(floor(ts / 86400) AS BIGINT) AS day, coun
 
 @query(f"{_D} SELECT run, day, n, {q6('rmse')} AS rmse, {q6('rms')} AS rms, {q6('1 - rmse / rms')} AS score FROM d")
 def rmse_t_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = stats.daily_scores(runs(spark, sf_dir), "ref", "exp")
+    d = stats.daily_scores(runs(readings(spark, sf_dir)), "ref", "exp")
     return d.withColumns({c: r6(c) for c in ("rmse", "rms", "score")})
 
 
 @query(f"{E_SQL} SELECT run, j, i, count(*) AS n, {q6('sqrt(avg((exp - ref) * (exp - ref)))')} AS rmse FROM e GROUP BY ALL")
 def rmse_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = runs(spark, sf_dir)
+    e = runs(readings(spark, sf_dir))
     return e.groupBy("run", "j", "i").agg(F.count("*").alias("n"), r6(stats.rmse(F.col("exp") - F.col("ref"))).alias("rmse"))
 
 
 @query(f"{_D} SELECT run, {q6('avg(1 - rmse / rms)')} AS mu, {q6('stddev_pop(1 - rmse / rms)')} AS sigma, {q6('avg(rmse)')} AS rmse, count(*) AS n_days FROM d GROUP BY run")
 def leaderboard_ose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = stats.leaderboard(stats.daily_scores(runs(spark, sf_dir), "ref", "exp"))
+    b = stats.leaderboard(stats.daily_scores(runs(readings(spark, sf_dir)), "ref", "exp"))
     return b.withColumns({c: r6(c) for c in ("mu", "sigma", "rmse")})
 
 
 @query(f"{E_SQL}, s AS (SELECT run, sqrt(avg((exp - ref) * (exp - ref))) AS x FROM e GROUP BY run) SELECT {q6('100 * (a.x - b.x) / b.x')} AS osse_pct, {q6('100 * (a.x * a.x - b.x * b.x) / (b.x * b.x)')} AS ose_pct FROM s a, s b WHERE a.run = 'experiment' AND b.run = 'baseline'")
 def improvement_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = runs(spark, sf_dir)
+    e = runs(readings(spark, sf_dir))
     d = F.col("exp") - F.col("ref")
     at = lambda run: F.sqrt(F.avg(F.when(F.col("run") == run, d * d)))
     s = e.agg(at("experiment").alias("x"), at("baseline").alias("b")).filter("x is not null and b is not null")
@@ -90,7 +90,7 @@ def improvement_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The global score by run and sensor, by run, and of all."""
     d = F.col("exp") - F.col("ref")
-    return runs(spark, sf_dir).rollup("run", "sensor").agg(F.count("*").alias("n"), r6(1 - stats.rmse(d) / F.sqrt(F.avg(F.col("ref") ** 2))).alias("score"))
+    return runs(readings(spark, sf_dir)).rollup("run", "sensor").agg(F.count("*").alias("n"), r6(1 - stats.rmse(d) / F.sqrt(F.avg(F.col("ref") ** 2))).alias("score"))
 
 
 @query(f"""{R_SQL}, k AS (SELECT sensor, lon, lat, v FROM r WHERE abs(v) < 5), m AS (SELECT sensor, var_pop(lon) AS xx, var_pop(lat) AS yy, covar_pop(lon, lat) AS xy, covar_pop(lon, v) AS xz, covar_pop(lat, v) AS yz, count(*) AS n FROM k GROUP BY sensor)
@@ -126,19 +126,19 @@ sg AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY sensor ORDER BY ts, obs_id ROWS
 sp AS (SELECT *, row_number() OVER (PARTITION BY sensor, seg ORDER BY ts, obs_id) - 1 AS pos FROM sg)"""
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = readings(spark, sf_dir).filter(F.abs("v") < 5).select("obs_id", "sensor", "ts", "lat", "lon", "v")
+def _segments(r: DataFrame) -> DataFrame:
+    r = r.filter(F.abs("v") < 5).select("obs_id", "sensor", "ts", "lat", "lon", "v")
     return segments.sessions(r, "sensor", "ts", "obs_id", GAP_S)
 
 
 @query(f"{_S} SELECT sensor, seg, count(*) AS n, {q6('min(ts)', '1e3')} AS start, {q6('max(ts)', '1e3')} AS stop FROM sp GROUP BY sensor, seg")
 def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).groupBy("sensor", "seg").agg(F.count("*").alias("n"), r6(F.min("ts"), 1e3).alias("start"), r6(F.max("ts"), 1e3).alias("stop"))
+    return _segments(readings(spark, sf_dir)).groupBy("sensor", "seg").agg(F.count("*").alias("n"), r6(F.min("ts"), 1e3).alias("start"), r6(F.max("ts"), 1e3).alias("stop"))
 
 
 @query(f"{_S} SELECT sensor, seg, count(*) AS n FROM sp GROUP BY sensor, seg HAVING count(*) >= {NPT}")
 def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).groupBy("sensor", "seg").agg(F.count("*").alias("n")).filter(F.col("n") >= NPT)
+    return _segments(readings(spark, sf_dir)).groupBy("sensor", "seg").agg(F.count("*").alias("n")).filter(F.col("n") >= NPT)
 
 
 _STEP = "2 * 6371.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1.0)))"
@@ -148,17 +148,17 @@ _STEP = "2 * 6371.0 * asin(sqrt(least(pow(sin(radians(b.lat - a.lat) / 2), 2) +
 SELECT sensor, seg, obs_id, {q6('d', '1e4')} AS step_km, {q6('sum(d) OVER (PARTITION BY sensor, seg ORDER BY pos)', '1e3')} AS run_km FROM st""")
 def running_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance from the point before, and along the segment so far."""
-    by = W.partitionBy("sensor", "seg").orderBy("pos")
-    d = great_circle_km(F.lag("lat").over(by), F.lag("lon").over(by), F.col("lat"), F.col("lon"))
-    s = _segments(spark, sf_dir).withColumn("d", d).withColumn("run", F.sum("d").over(by))  # a segment lasts minutes
+    s = segments.distances(_segments(readings(spark, sf_dir)), "sensor", great_circle_km)
     return s.filter("pos > 0").select("sensor", "seg", "obs_id", r6("d", 1e4).alias("step_km"), r6("run", 1e3).alias("run_km"))
 
 
 @query(f"""{_S} SELECT sensor, {q6('median(d)', '1e3')} AS spacing_km, count(*) AS n FROM (SELECT b.sensor, {_STEP} AS d FROM sp a JOIN sp b ON a.sensor = b.sensor AND a.seg = b.seg AND b.pos = a.pos + 1) GROUP BY sensor""")
 def median_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = W.partitionBy("sensor", "seg").orderBy("pos")
-    d = great_circle_km(F.lag("lat").over(by), F.lag("lon").over(by), F.col("lat"), F.col("lon"))
-    return _segments(spark, sf_dir).withColumn("d", d).filter("d is not null").groupBy("sensor").agg(r6(F.median("d"), 1e3).alias("spacing_km"), F.count("*").alias("n"))
+    """Exact median of the distances between consecutive points."""
+    d = segments.distances(_segments(readings(spark, sf_dir)), "sensor", great_circle_km).filter("d is not null")
+    d = materialize(d.select("sensor", "d"), "spacing")
+    n = d.groupBy("sensor").agg(F.count("*").alias("n"))
+    return stats.exact_median(d, ["sensor"], "d", 0.1).join(n, "sensor").select("sensor", r6("median", 1e3).alias("spacing_km"), "n")
 
 
 _SUB = f"""{_S}, sl AS (SELECT sensor, seg FROM sp GROUP BY sensor, seg HAVING count(*) >= {NPT}),
@@ -167,7 +167,7 @@ sb AS (SELECT su.sensor, su.seg, sub, pos - sub * {STRIDE} AS x, lat, lon, v FRO
 
 
 def _subs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _segments(spark, sf_dir)
+    s = _segments(readings(spark, sf_dir))
     long = s.groupBy("sensor", "seg").agg(F.count("*").alias("n")).filter(F.col("n") >= NPT).drop("n")
     return segments.sub_segments(s.join(long, ["sensor", "seg"]), ["sensor", "seg"], NPT, STRIDE, ["lat", "lon", "v"])
 

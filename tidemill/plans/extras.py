@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
-from tidemill.operators import basis, fill, kernels, spatial, stencils, windows
-from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, NJ, R_SQL, Registry, field, nodes, q6, r6, readings
-from tidemill.plans.dynamics import _FD, _daily, _maps, _tiles
-from tidemill.plans.joins import _GW, H_SQL, WIDE, _h, _ocean, _points, _wide, _xyz
+from tidemill.operators import basis, blend, fill, spatial, stencils, windows
+from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, NJ, R_SQL, Registry, field, nodes, q6, r6, readings, shared
+from tidemill.plans.dynamics import _FD, _daily
+from tidemill.plans.joins import _GW, CELLS_SQL, H_SQL, K_NEAR, RADIUS, WIDE, _observed, _wide, targets
 from tidemill.sources import ingest, sinks
-from tidemill.sources.tables import new_folder, table
+from tidemill.sources.tables import materialize, new_folder, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -57,14 +57,14 @@ def degraded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLS = "gc AS (SELECT obs_class, CAST(floor((lat + 90) / 30) AS BIGINT) AS j, CAST(floor(lon / 30) AS BIGINT) AS i, avg(v) AS h, count(v) AS n FROM r WHERE abs(v) < 5 GROUP BY ALL)"
 
 
-def _by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings(spark, sf_dir).filter(F.abs("v") < 5).groupBy("obs_class", F.floor((F.col("lat") + 90) / WIDE).alias("j"), F.floor(F.col("lon") / WIDE).alias("i")).agg(F.avg("v").alias("h"), F.count("v").alias("n"))
+def _by_class(r: DataFrame) -> DataFrame:
+    return r.filter(F.abs("v") < 5).groupBy("obs_class", F.floor((F.col("lat") + 90) / WIDE).alias("j"), F.floor(F.col("lon") / WIDE).alias("i")).agg(F.avg("v").alias("h"), F.count("v").alias("n"))
 
 
 @query(f"{R_SQL}, {_CLS} SELECT coalesce(a.j, b.j) AS j, coalesce(a.i, b.i) AS i, {q6('coalesce(b.h, a.h)')} AS h, a.n AS n_nadir FROM (SELECT * FROM gc WHERE obs_class = 'OBS_SSH_NADIR') a FULL JOIN (SELECT * FROM gc WHERE obs_class = 'OBS_SSH_SWATH') b ON a.j = b.j AND a.i = b.i")
 def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The swath sensors' map put over the nadir sensors' in one state; other variables stay."""
-    g = _by_class(spark, sf_dir)
+    g = _by_class(readings(spark, sf_dir))
     old = g.filter("obs_class = 'OBS_SSH_NADIR'").select("j", "i", "h", F.col("n").alias("n_nadir"))
     new = g.filter("obs_class = 'OBS_SSH_SWATH'").select("j", "i", "h")
     return sinks.upsert_variables(old, new, ["j", "i"]).select("j", "i", r6("h").alias("h"), "n_nadir")
@@ -85,8 +85,9 @@ def nan_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT obs_id, {q6('CASE WHEN v BETWEEN lo AND hi THEN v END')} AS guarded, {q6('CASE WHEN v IS NOT NULL THEN least(greatest(v, lo), hi) END')} AS clamped FROM k JOIN e USING (j, i)""")
 def range_guard_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings outside the range of their cell's daily means: nulled, and clamped."""
-    e = _wide(spark, sf_dir).groupBy("j", "i").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    r = readings(spark, sf_dir).withColumn("j", F.least(F.floor((F.col("lat") + 90) / WIDE), F.lit(5))).withColumn("i", F.floor(F.col("lon") / WIDE)).join(e, ["j", "i"])
+    r = shared(spark, sf_dir)
+    e = _wide(r).groupBy("j", "i").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    r = r.withColumn("j", F.least(F.floor((F.col("lat") + 90) / WIDE), F.lit(5))).withColumn("i", F.floor(F.col("lon") / WIDE)).join(e, ["j", "i"])
     return r.select("obs_id", r6(F.when(F.col("v").between(F.col("lo"), F.col("hi")), F.col("v"))).alias("guarded"), r6(F.when(F.col("v").isNotNull(), F.least(F.greatest("v", "lo"), F.col("hi")))).alias("clamped"))
 
 
@@ -103,37 +104,30 @@ def swath_edge_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT obs_id, {q6('coalesce(err, sigma, 1.0) * greatest(1.0, x.a / y.a)')} AS err FROM r, x, y""")
 def l4_error_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors grown by the ratio of the map's cells to cells of two degrees, where that is above 1."""
-    r = readings(spark, sf_dir)
+    r = shared(spark, sf_dir)
     area = lambda d, s: d.agg(F.avg(s * s * F.cos(F.radians("lat"))).alias("a"))
-    ratio = area(field(spark, sf_dir), CELL).withColumnRenamed("a", "x").join(F.broadcast(area(r, 2.0)))  # one row each
+    ratio = area(field(r), CELL).withColumnRenamed("a", "x").join(F.broadcast(area(r, 2.0)))  # one row each
     return r.join(F.broadcast(ratio)).select("obs_id", r6(F.coalesce("err", "sigma", F.lit(1.0)) * F.greatest(F.lit(1.0), F.col("x") / F.col("a"))).alias("err"))
 
 
 @query(f"{R_SQL}, {_GW} SELECT CAST(floor(k / 5) AS BIGINT) AS win, j, i, {q6('avg(h) + 0.05')} AS h, count(*) AS n FROM gw GROUP BY ALL")
 def l4_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the daily maps in windows of five days, with an offset added."""
-    return _wide(spark, sf_dir).groupBy(F.floor(F.col("k") / 5).alias("win"), "j", "i").agg(r6(F.avg("h") + 0.05).alias("h"), F.count("*").alias("n"))
+    return _wide(readings(spark, sf_dir)).groupBy(F.floor(F.col("k") / 5).alias("win"), "j", "i").agg(r6(F.avg("h") + 0.05).alias("h"), F.count("*").alias("n"))
 
 
-_CELLS = f"m AS (SELECT DISTINCT j, i, j * 12 + i AS cell_id, (j + 0.5) * {WIDE} - 90 AS lat, (i + 0.5) * {WIDE} AS lon FROM gw), mq AS (SELECT cell_id, {_xyz('c')} FROM m), rq AS (SELECT obs_id, v, {_xyz('p')} FROM r WHERE abs(v) < 5), dd AS (SELECT cell_id, obs_id, v, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy) + (pz - cz) * (pz - cz)) AS d FROM mq, rq), k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, obs_id) AS rk FROM dd WHERE d <= 600)"
-
-
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _wide(spark, sf_dir).select("j", "i").distinct()
-    return c.select((F.col("j") * 12 + F.col("i")).alias("cell_id"), ((F.col("j") + 0.5) * WIDE - 90).alias("lat"), ((F.col("i") + 0.5) * WIDE).alias("lon"))
-
-
-@query(f"{R_SQL}, {_GW}, {_CELLS} SELECT cell_id, {q6('v')} AS v FROM k WHERE rk = 1")
+@query(f"{CELLS_SQL} SELECT cell_id, {q6('v')} AS v FROM k WHERE rk = 1")
 def nearest_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest reading within 600 km of each cell."""
-    out = spatial.idw(readings(spark, sf_dir).filter(F.abs("v") < 5), _cells(spark, sf_dir), 1, 600.0, "v", "obs_id", "cell_id")
-    return out.select("cell_id", r6("v").alias("v"))
+    """The nearest reading of each cell."""
+    r = shared(spark, sf_dir).filter(F.abs("v") < 5)
+    return spatial.idw(r, targets(r), 1, RADIUS, "v", "obs_id", "cell_id").select("cell_id", r6("v").alias("v"))
 
 
-@query(f"{R_SQL}, {_GW}, {_CELLS} SELECT cell_id, {q6('sum(v * exp(-0.5 * pow(d / 200, 2))) / sum(exp(-0.5 * pow(d / 200, 2)))')} AS v FROM k WHERE rk <= 11 GROUP BY cell_id")
+@query(f"{CELLS_SQL} SELECT cell_id, {q6('sum(v * exp(-0.5 * pow(d / 200, 2))) / sum(exp(-0.5 * pow(d / 200, 2)))')} AS v FROM k WHERE rk <= {K_NEAR} GROUP BY cell_id")
 def parzen_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian window of 200 km over the eleven nearest readings of each cell."""
-    near = fill.nearest_values(readings(spark, sf_dir).filter(F.abs("v") < 5), _cells(spark, sf_dir), 11, 600.0, "v", "obs_id", "cell_id")
+    r = shared(spark, sf_dir).filter(F.abs("v") < 5)
+    near = fill.nearest_values(r, targets(r), K_NEAR, RADIUS, "v", "obs_id", "cell_id")
     w = F.exp(-0.5 * (F.col("d") / 200) ** 2)
     return near.groupBy("cell_id").agg(r6(F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
 
@@ -141,7 +135,8 @@ def parzen_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rbf_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiquadric radial basis functions through the eleven nearest readings of each cell."""
-    return fill.multiquadric(readings(spark, sf_dir).filter(F.abs("v") < 5), _cells(spark, sf_dir), 11, 600.0, "v", "obs_id", "cell_id")
+    r = shared(spark, sf_dir).filter(F.abs("v") < 5)
+    return fill.multiquadric(r, targets(r), K_NEAR, RADIUS, "v", "obs_id", "cell_id")
 
 
 @query(f"""{G_SQL}, c AS (SELECT obs_id, (lat + 90) / {CELL} - 0.5 AS y, lon / {CELL} - 0.5 AS x FROM r), d AS (SELECT obs_id, CAST(floor(y) AS BIGINT) AS j, CAST(floor(x) AS BIGINT) AS i, y - floor(y) AS fy, x - floor(x) AS fx FROM c),
@@ -150,7 +145,8 @@ a AS (SELECT obs_id, CASE WHEN fx + fy <= 1 THEN j + dj ELSE j + 1 - dj END AS j
 SELECT obs_id, {q6('sum(w * h)')} AS value FROM a JOIN g ON g.j = a.j AND g.i = a.i GROUP BY obs_id HAVING count(*) = 3""")
 def triangle_to_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear interpolation on the lattice's triangles: each cell of four nodes is split along its diagonal."""
-    return fill.on_triangles(readings(spark, sf_dir), field(spark, sf_dir), CELL, "h").withColumn("value", r6("value"))
+    r = shared(spark, sf_dir)
+    return fill.on_triangles(r, field(r), CELL, "h").withColumn("value", r6("value"))
 
 
 @query(f"""{R_SQL}, {B_SQL}, s AS (SELECT CAST(floor(ts / 21600 + 0.5) AS BIGINT) AS snap, avg(v) AS wind FROM b WHERE var_name = 'ssh' AND v IS NOT NULL GROUP BY snap), e AS (SELECT min(snap) AS a, max(snap) AS z FROM s)
@@ -183,7 +179,7 @@ def smooth_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{R_SQL}, {_FD} SELECT it, {q6('sum(wt * y)', '1e4')} AS x, count(*) AS n FROM fd JOIN gt USING (day) GROUP BY it")
 def basis_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis by the offset basis, one number for each time centre: the transpose of broadcasting it is a sum."""
-    d = _daily(spark, sf_dir)
+    d = materialize(_daily(readings(spark, sf_dir)), "daily")
     gt_ = basis.gt(d.select("day").distinct(), 5.0)
     return d.join(gt_, "day").groupBy("it").agg(r6(F.sum(F.col("wt") * F.col("y")), 1e4).alias("x"), F.count("*").alias("n"))
 
@@ -191,11 +187,11 @@ def basis_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GC = scalars.SQL["gaspari_cohn"]
 
 
-@query(f"""{G_SQL}, ce AS (SELECT DISTINCT CAST(floor(lat / 20 + 0.5) AS BIGINT) AS pj, CAST(floor(lon / 20 + 0.5) AS BIGINT) AS pi FROM g), p AS (SELECT pj, pi, lat - pj * 20 AS y, lon - pi * 20 AS x FROM ce, g WHERE abs(lat - pj * 20) < 40 AND abs(lon - pi * 20) < 40)
+@query(f"""{G_SQL}, ce AS (SELECT DISTINCT CAST(floor(lat / 20 + 0.5) AS BIGINT) AS pj, CAST(floor(lon / 20 + 0.5) AS BIGINT) % 18 AS pi FROM g), p AS (SELECT * FROM (SELECT pj, pi, lat - pj * 20 AS y, (lon - pi * 20 + 540) % 360 - 180 AS x FROM ce, g) WHERE abs(y) < 40 AND abs(x) < 40)
 SELECT pj, pi, count(*) AS n, {q6(f'sum({_GC.format(r="x", c="40.0")} * {_GC.format(r="y", c="40.0")})', '1e4')} AS mass FROM p GROUP BY pj, pi""")
 def basis_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mass of each bump of the basis without directions: compact correlation functions on a lattice of 20 degrees."""
-    g = field(spark, sf_dir)
+    g = field(readings(spark, sf_dir))
     c = basis.bumps(g, 20.0, 40.0, CELL)
     return c.groupBy("pj", "pi").agg(F.count("*").alias("n"), r6(F.sum("w"), 1e4).alias("mass"))
 
@@ -223,7 +219,8 @@ def checkpoint_half_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT 'map' AS op_id, cell_id AS row_id, sum(w * v) / sum(w) - any_value(val) AS m FROM h WHERE v IS NOT NULL GROUP BY cell_id) SELECT op_id, row_id, {q6('m')} AS m FROM (SELECT * FROM a UNION ALL SELECT * FROM t)""")
 def multi_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misfits of two operators in one vector with op_id: at the readings, and at the nodes."""
-    h, ocean, pts = _h(spark, sf_dir), _ocean(spark, sf_dir), _points(spark, sf_dir).select("obs_id", "v")
+    r, ocean, h = _observed(spark, sf_dir)
+    pts = r.select("obs_id", "v")
     hx = spatial.matvec(h, ocean, "obs_id", "cell_id", "x", "hx")
     a = pts.join(hx, "obs_id").select(F.lit("point").alias("op_id"), F.col("obs_id").alias("row_id"), F.coalesce(F.col("hx") - F.col("v"), F.lit(0.0)).alias("m"))
     at = h.join(pts.filter("v is not null"), "obs_id").groupBy("cell_id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("y"))
@@ -235,7 +232,7 @@ def multi_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.j, d.i, {q6('(e.d - w.d) / 2')} AS gx, {q6('(n.d - s.d) / 2')} AS gy FROM d LEFT JOIN d e ON e.j = d.j AND e.i = (d.i + 1) % 12 LEFT JOIN d w ON w.j = d.j AND w.i = (d.i + 11) % 12 LEFT JOIN d n ON n.i = d.i AND n.j = d.j + 1 LEFT JOIN d s ON s.i = d.i AND s.j = d.j - 1""")
 def gradient_misfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the difference of two maps."""
-    g = _by_class(spark, sf_dir)
+    g = _by_class(readings(spark, sf_dir))
     n, s = (g.filter(F.col("obs_class") == c).select("j", "i", F.col("h").alias(a)) for c, a in (("OBS_SSH_NADIR", "hn"), ("OBS_SSH_SWATH", "hs")))
     d = n.join(s, ["j", "i"]).withColumn("d", F.col("hn") - F.col("hs"))
     d = stencils.neighbours(d, "d", stencils.CROSS, 12)
@@ -245,7 +242,7 @@ def gradient_misfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{R_SQL}, {_FD}, k AS (SELECT CAST(floor(day / 5) AS BIGINT) AS tw, CAST(floor(j / 6) AS BIGINT) AS yw, CAST(floor(i / 6) AS BIGINT) AS xw, count(DISTINCT j * 72 + i) / 36.0 AS part FROM fd GROUP BY ALL) SELECT tw, yw, xw, {q6('part')} AS part FROM k WHERE part >= 0.1""")
 def covered_sub_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-windows of which at least a tenth of the cells holds readings; the others are skipped."""
-    d = _daily(spark, sf_dir)
+    d = _daily(readings(spark, sf_dir))
     c = d.select(F.floor(F.col("day") / 5).alias("tw"), F.floor(F.col("j") / 6).alias("yw"), F.floor(F.col("i") / 6).alias("xw"), "j", "i").distinct()
     return c.groupBy("tw", "yw", "xw").agg((F.count("*") / 36.0).alias("part")).filter("part >= 0.1").withColumn("part", r6("part"))
 
@@ -253,29 +250,4 @@ def covered_sub_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{R_SQL}, {_GW} SELECT a.k, a.j, a.i, {q6('sum(0.3 * pow(0.7, a.k - b.k) * b.h)')} AS state FROM gw a JOIN gw b ON b.j = a.j AND b.i = a.i AND b.k <= a.k GROUP BY ALL""")
 def warm_start_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each cell handed from day to day: 0.7 of the last state for each day since, and 0.3 of the day's map."""
-    g = _wide(spark, sf_dir)
-    days = F.sort_array(F.collect_list(F.struct("k", "h")))  # the days of one cell
-    chain = F.aggregate(
-        "d",
-        F.array().cast("array<struct<k: bigint, state: double>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(x["k"].alias("k"), (0.3 * x["h"] + F.coalesce(F.pow(F.lit(0.7), x["k"] - F.try_element_at(acc, F.lit(-1))["k"]) * F.try_element_at(acc, F.lit(-1))["state"], F.lit(0.0))).alias("state")))),
-    )
-    return g.groupBy("j", "i").agg(days.alias("d")).select("j", "i", F.explode(chain).alias("s")).select("s.k", "j", "i", r6("s.state").alias("state"))
-
-
-@query()
-def coupled_step_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced motion and internal tide of each tile, each with its own step, and their sum."""
-    return kernels.run_tiles(_tiles(spark, sf_dir), fill.balanced_and_tide, CELL)
-
-
-@query()
-def relaxation_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing cells of each day's whole map filled by relaxation to the mean of their neighbours."""
-    return fill.on_globe(_maps(spark, sf_dir))
-
-
-@query()
-def psd2d_isotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-dimensional spectrum of each tile and day, averaged over rings of wavenumber."""
-    return fill.isotropic_spectra(_tiles(spark, sf_dir), CELL)
+    return blend.handed_on(_wide(readings(spark, sf_dir)), ["j", "i"], "k", "h", 0.7, 0.3).select("k", "j", "i", r6("state").alias("state"))

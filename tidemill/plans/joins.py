@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
 from tidemill.operators import blend, spatial, windows
-from tidemill.operators.rowops import box
-from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, R_SQL, Registry, field, nodes, q6, r6, readings
-from tidemill.sources.tables import table
+from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, R_SQL, Registry, field, nodes, q6, r6, readings, shared
+from tidemill.sources.tables import materialize, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -24,12 +23,15 @@ def _ocean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy(F.col("node_id").alias("cell_id")).agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.avg("v").alias("x")).filter("x is not null")
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return box(readings(spark, sf_dir), lon=(200, 220), lat=(-45, -25), pad=2)
+def _h(r: DataFrame, ocean: DataFrame) -> DataFrame:
+    """The observation operator between all readings and the sea-level nodes; cells of the reach prune both sides."""
+    return spatial.knn_weights(r, ocean, K, REACH)
 
 
-def _h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.knn_weights(_points(spark, sf_dir), _ocean(spark, sf_dir), K, REACH)
+def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(readings, sea-level nodes, observation operator), each a table that is used more than once."""
+    r, ocean = shared(spark, sf_dir), materialize(_ocean(spark, sf_dir), "ocean")
+    return r, ocean, materialize(_h(r, ocean), "h")
 
 
 def _xyz(p: str = "") -> str:
@@ -39,7 +41,7 @@ def _xyz(p: str = "") -> str:
 # brute force: every point against every node
 H_SQL = f"""{R_SQL}, {B_SQL},
 oc AS (SELECT node_id AS cell_id, min(lat) AS lat, min(lon) AS lon, avg(v) AS x FROM b WHERE var_name = 'ssh' GROUP BY node_id HAVING avg(v) IS NOT NULL),
-pt AS (SELECT *, {_xyz("p")} FROM r WHERE lon BETWEEN 198 AND 222 AND lat BETWEEN -47 AND -23),
+pt AS (SELECT *, {_xyz("p")} FROM r),
 oq AS (SELECT cell_id, x AS val, {_xyz("c")} FROM oc),
 pr AS (SELECT obs_id, ts, v, err, sigma, cell_id, val, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy) + (pz - cz) * (pz - cz)) AS d FROM pt, oq),
 hk AS (SELECT *, exp(-d * d / (2 * 75.0 * 75.0)) AS g FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY d, cell_id) AS rk FROM pr WHERE d <= {REACH}) WHERE rk <= {K}),
@@ -48,24 +50,26 @@ h AS (SELECT *, g / sum(g) OVER (PARTITION BY obs_id) AS w FROM hk)"""
 
 @query(f"{H_SQL} SELECT obs_id, cell_id, {q6('d', '1e4')} AS d, {q6('w')} AS w FROM h")
 def knn_gauss_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _h(spark, sf_dir).select("obs_id", "cell_id", r6("d", 1e4).alias("d"), r6("w").alias("w"))
+    return _h(readings(spark, sf_dir), _ocean(spark, sf_dir)).select("obs_id", "cell_id", r6("d", 1e4).alias("d"), r6("w").alias("w"))
 
 
 @query(f"{H_SQL} SELECT obs_id, {q6('sum(w * val)')} AS hx FROM h GROUP BY obs_id")
 def h_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hx = spatial.matvec(_h(spark, sf_dir), _ocean(spark, sf_dir), "obs_id", "cell_id", "x", "hx")
+    ocean = _ocean(spark, sf_dir)
+    hx = spatial.matvec(_h(readings(spark, sf_dir), ocean), ocean, "obs_id", "cell_id", "x", "hx")
     return hx.select("obs_id", r6("hx").alias("hx"))
 
 
 @query(f"{H_SQL} SELECT cell_id, {q6('sum(w * v)')} AS adj FROM h WHERE v IS NOT NULL GROUP BY cell_id")
 def h_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = _points(spark, sf_dir).filter("v is not null").select("obs_id", "v")
-    return spatial.matvec(_h(spark, sf_dir), y, "cell_id", "obs_id", "v", "adj").select("cell_id", r6("adj").alias("adj"))
+    r, _, h = _observed(spark, sf_dir)
+    return spatial.matvec(h, r.filter("v is not null"), "cell_id", "obs_id", "v", "adj").select("cell_id", r6("adj").alias("adj"))
 
 
 def _misfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hx = spatial.matvec(_h(spark, sf_dir), _ocean(spark, sf_dir), "obs_id", "cell_id", "x", "hx")
-    y = _points(spark, sf_dir).select("obs_id", "ts", "v", F.coalesce("err", "sigma", F.lit(1.0)).alias("e"))
+    r, ocean, h = _observed(spark, sf_dir)
+    hx = spatial.matvec(h, ocean, "obs_id", "cell_id", "x", "hx")
+    y = r.select("obs_id", "ts", "v", F.coalesce("err", "sigma", F.lit(1.0)).alias("e"))
     return y.join(hx, "obs_id").withColumn("m", F.coalesce((F.col("hx") - F.col("v")) / F.greatest("e", F.lit(1e-3)), F.lit(0.0)))
 
 
@@ -101,8 +105,8 @@ _NEAR = f"{H_SQL}, t1 AS (SELECT obs_id, ts, cell_id AS node_id FROM h), bs AS (
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _h(spark, sf_dir).select("obs_id", F.col("cell_id").alias("node_id"))
-    return h.join(_points(spark, sf_dir).select("obs_id", "ts"), "obs_id")
+    r, _, h = _observed(spark, sf_dir)
+    return h.select("obs_id", F.col("cell_id").alias("node_id")).join(r.select("obs_id", "ts"), "obs_id")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,14 +157,15 @@ bl AS (SELECT obs_id, any_value(a.v) AS v, sum(w * h) AS m FROM a JOIN g ON g.j
 
 @query(f"{_BL} SELECT obs_id, {q6('m')} AS value FROM bl")
 def bilinear_to_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.interpolate(readings(spark, sf_dir), field(spark, sf_dir), CELL, "h").withColumn("value", r6("value"))
+    r = shared(spark, sf_dir)
+    return spatial.interpolate(r, field(r), CELL, "h").withColumn("value", r6("value"))
 
 
 @query(f"{_BL} SELECT obs_id, {q6('v + m')} AS plus, {q6('v - m')} AS minus FROM bl")
 def mdt_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map added to, and taken from, the readings."""
-    r = readings(spark, sf_dir)
-    m = spatial.interpolate(r, field(spark, sf_dir), CELL, "h", to="m")
+    r = shared(spark, sf_dir)
+    m = spatial.interpolate(r, field(r), CELL, "h", to="m")
     return r.join(m, "obs_id").select("obs_id", r6(F.col("v") + F.col("m")).alias("plus"), r6(F.col("v") - F.col("m")).alias("minus"))
 
 
@@ -168,9 +173,9 @@ WIDE = 30.0
 _GW = f"gw AS (SELECT CAST(floor(ts / 86400) AS BIGINT) AS k, CAST(least(floor((lat + 90) / {WIDE}), 5) AS BIGINT) AS j, CAST(floor(lon / {WIDE}) AS BIGINT) AS i, avg(v) AS h FROM r WHERE abs(v) < 5 GROUP BY ALL)"
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wide(r: DataFrame) -> DataFrame:
     j = F.least(F.floor((F.col("lat") + 90) / WIDE), F.lit(5))
-    return readings(spark, sf_dir).filter(F.abs("v") < 5).groupBy(F.floor(F.col("ts") / 86400).alias("k"), j.alias("j"), F.floor(F.col("lon") / WIDE).alias("i")).agg(F.avg("v").alias("h"))
+    return r.filter(F.abs("v") < 5).groupBy(F.floor(F.col("ts") / 86400).alias("k"), j.alias("j"), F.floor(F.col("lon") / WIDE).alias("i")).agg(F.avg("v").alias("h"))
 
 
 @query(f"""{R_SQL}, {_GW}, c AS (SELECT obs_id, (lat + 90) / {WIDE} - 0.5 AS y, lon / {WIDE} - 0.5 AS x, ts / 86400 - 0.5 AS s FROM r),
@@ -178,19 +183,26 @@ a AS (SELECT obs_id, floor(y) + dj AS j, (CAST(floor(x) AS BIGINT) + di + 12) %
       FROM c, (VALUES (0), (1)) p(dj), (VALUES (0), (1)) q(di), (VALUES (0), (1)) u(dk))
 SELECT obs_id, {q6('sum(w * h)')} AS value FROM a JOIN gw ON gw.j = a.j AND gw.i = a.i AND gw.k = a.k GROUP BY obs_id HAVING count(*) = 8""")
 def trilinear_to_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.interpolate(readings(spark, sf_dir), _wide(spark, sf_dir), WIDE, "h", at_time="ts").withColumn("value", r6("value"))
+    r = shared(spark, sf_dir)
+    return spatial.interpolate(r, _wide(r), WIDE, "h", at_time="ts").withColumn("value", r6("value"))
 
 
-@query(f"""{R_SQL}, {_GW}, m AS (SELECT DISTINCT j, i, j * 12 + i AS cell_id, (j + 0.5) * {WIDE} - 90 AS lat, (i + 0.5) * {WIDE} AS lon FROM gw),
-mq AS (SELECT cell_id, {_xyz("c")} FROM m), rq AS (SELECT obs_id, v, {_xyz("p")} FROM r WHERE abs(v) < 5),
-dd AS (SELECT cell_id, obs_id, v, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy) + (pz - cz) * (pz - cz)) AS d FROM mq, rq),
-k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, obs_id) AS rk FROM dd WHERE d <= 600)
-SELECT cell_id, {q6('sum(v / (greatest(d, 1e-3) * greatest(d, 1e-3))) / sum(1 / (greatest(d, 1e-3) * greatest(d, 1e-3)))')} AS v, count(*) AS n FROM k WHERE rk <= 11 GROUP BY cell_id""")
+K_NEAR, RADIUS = 11, 600.0
+# every reading lies in a target's cell, so each is within reach of one; brute force over all targets and readings
+CELLS_SQL = f"""{G_SQL}, mq AS (SELECT j * {NI} + i AS cell_id, {_xyz('c')} FROM g), rq AS (SELECT obs_id, v, {_xyz('p')} FROM r WHERE abs(v) < 5),
+dd AS (SELECT cell_id, obs_id, v, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy) + (pz - cz) * (pz - cz)) AS d FROM mq, rq WHERE abs(px - cx) <= {RADIUS} AND abs(py - cy) <= {RADIUS} AND abs(pz - cz) <= {RADIUS}),
+k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d, obs_id) AS rk FROM dd WHERE d <= {RADIUS})"""
+
+
+def targets(r: DataFrame) -> DataFrame:
+    """cell_id, lat, lon of the map's cells that hold readings."""
+    return field(r).select((F.col("j") * NI + F.col("i")).alias("cell_id"), "lat", "lon")
+
+
+@query(f"{CELLS_SQL} SELECT cell_id, {q6('sum(v / (greatest(d, 1e-3) * greatest(d, 1e-3))) / sum(1 / (greatest(d, 1e-3) * greatest(d, 1e-3)))')} AS v, count(*) AS n FROM k WHERE rk <= {K_NEAR} GROUP BY cell_id")
 def idw_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _wide(spark, sf_dir).select("j", "i").distinct()
-    cells = cells.select((F.col("j") * 12 + F.col("i")).alias("cell_id"), ((F.col("j") + 0.5) * WIDE - 90).alias("lat"), ((F.col("i") + 0.5) * WIDE).alias("lon"))
-    out = spatial.idw(readings(spark, sf_dir).filter(F.abs("v") < 5), cells, 11, 600.0, "v", "obs_id", "cell_id")
-    return out.withColumn("v", r6("v"))
+    r = shared(spark, sf_dir).filter(F.abs("v") < 5)
+    return spatial.idw(r, targets(r), K_NEAR, RADIUS, "v", "obs_id", "cell_id").withColumn("v", r6("v"))
 
 
 @query(f"""WITH {B_SQL}, a AS (SELECT node_id, min(lat) AS lat, min(lon) AS lon, count(v) AS n FROM b GROUP BY node_id),
@@ -253,7 +265,7 @@ m AS (SELECT CAST((CAST(w AS BIGINT) + 12) % 12 AS BIGINT) AS w, j, i, h, 0.5 *
 SELECT j, i, {q6('sum(wt * (h - mean)) / sum(wt)')} AS v, count(*) AS n_windows FROM m JOIN a USING (w) GROUP BY j, i""")
 def space_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-windows of 60 degrees that overlap by half, each with its own mean taken out, blended by Hann weights."""
-    parts = blend.overlapping(field(spark, sf_dir), "lon", 60.0, 30.0).withColumn("sub_window", F.pmod("sub_window", F.lit(12)))
+    parts = blend.overlapping(field(readings(spark, sf_dir)), "lon", 60.0, 30.0).withColumn("sub_window", F.pmod("sub_window", F.lit(12)))
     mean = parts.groupBy("sub_window").agg(F.avg("h").alias("mean"))
     each = parts.join(mean, "sub_window").withColumn("v", F.col("h") - F.col("mean"))
     return blend.weighted(each, ["j", "i"], "v").withColumn("v", r6("v"))

@@ -1,18 +1,17 @@
-"""Single steps of the models as relations, further bases, forward runs and the models' own tests."""
+"""Single steps of the models as relations, and further bases."""
 
 from __future__ import annotations
 
 import math
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions import scalars
-from tidemill.operators import basis, fill, kernels, stencils
-from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, R_SQL, Registry, field, nodes, q6, r6
-from tidemill.plans.dynamics import _DX, _DY, _F, _FD, _daily, _maps, _tiles
+from tidemill.operators import basis, stencils
+from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, R_SQL, Registry, field, nodes, q6, r6, readings
+from tidemill.plans.dynamics import _DX, _DY, _F, _FD, _daily
 from tidemill.plans.extras import _CLS, _by_class
 
 query = Registry()
@@ -24,7 +23,7 @@ uv AS (SELECT *, greatest(least(-9.81 / ({_F}) * (n - s) / (2 * {_DY}), 1), -1)
 SELECT j, i, {q6(f'h - 86400 * (CASE WHEN u > 0 THEN u * (h - w) ELSE u * (e - h) END / {_DX} + CASE WHEN v > 0 THEN v * (h - s) ELSE v * (n - h) END / {_DY})')} AS tracer FROM uv""")
 def tracer_advection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tracer equal to the map, carried for a day by the map's own geostrophic flow (at most 1 m/s), first-order upwind."""
-    s = stencils.neighbours(field(spark, sf_dir), "h", stencils.CROSS, NI).filter("n is not null and s is not null and e is not null and w is not null")
+    s = stencils.neighbours(field(readings(spark, sf_dir)), "h", stencils.CROSS, NI).filter("n is not null and s is not null and e is not null and w is not null")
     s = s.withColumn("lat", (F.col("j") + 0.5) * CELL - 90)
     u, v = (F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)) for c in stencils.geostrophic(F.col("h"), F.col("lat"), CELL))
     dx, dy = stencils.spacing(F.col("lat"), CELL)
@@ -41,7 +40,7 @@ SELECT a.j, a.i, a.layer, {q6('a.eta')} AS eta, {q6('a.p')} AS p, {q6('-(b.p - c
 def multilayer_tendency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers: interfaces cumulated from below, pressure from above by reduced gravity, and the pressure's pull along i."""
     layer = F.when(F.col("obs_class") == "OBS_SSH_NADIR", 1).otherwise(2)
-    g = _by_class(spark, sf_dir).select("j", "i", layer.alias("layer"), "h")
+    g = _by_class(readings(spark, sf_dir)).select("j", "i", layer.alias("layer"), "h")
     up, down = W.partitionBy("j", "i").orderBy(F.desc("layer")), W.partitionBy("j", "i").orderBy("layer")
     g = g.withColumn("eta", F.sum("h").over(up)).withColumn("p", F.sum(F.when(F.col("layer") == 1, 9.81).otherwise(0.02) * F.col("eta")).over(down))
     near = stencils.neighbours(g, "p", {"e": (0, 1), "w": (0, -1)}, 12, keys=("layer",))
@@ -79,15 +78,15 @@ def tide_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT ift, decay, day, unnest([CAST(floor(day / decay) AS BIGINT), CAST(floor(day / decay) AS BIGINT) + 1]) AS it FROM (SELECT DISTINCT day FROM fd), (VALUES (0, 3.0), (1, 6.0), (2, 12.0)) l(ift, decay))) GROUP BY ift, it""")
 def basis_wavelet3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time factor of a basis that is a ladder in time as well."""
-    g = basis.gt_ladder(_daily(spark, sf_dir).select("day").distinct(), [3.0, 6.0, 12.0])
+    g = basis.gt_ladder(_daily(readings(spark, sf_dir)).select("day").distinct(), [3.0, 6.0, 12.0])
     return g.groupBy("ift", "it").agg(r6(F.sum("wt")).alias("total"), F.count("*").alias("n"))
 
 
 @query(f"""{R_SQL}, {_FD}, c AS (SELECT j, i, (j + 0.5) * {CELL} - 90 AS lat, (i + 0.5) * {CELL} AS lon, CASE WHEN count(*) > 1 THEN stddev_pop(y) END AS sd FROM fd GROUP BY j, i),
-ce AS (SELECT DISTINCT CAST(floor(lat / 20 + 0.5) AS BIGINT) AS pj, CAST(floor(lon / 20 + 0.5) AS BIGINT) AS pi FROM c) SELECT pj, pi, {q6('avg(sd)')} AS std, {q6('coalesce(pow(avg(sd), 2), 1e-10)', '1e10')} AS q FROM ce JOIN c ON abs(lat - pj * 20) < 20 AND abs(lon - pi * 20) < 20 GROUP BY pj, pi""")
+ce AS (SELECT DISTINCT CAST(floor(lat / 20 + 0.5) AS BIGINT) AS pj, CAST(floor(lon / 20 + 0.5) AS BIGINT) % 18 AS pi FROM c) SELECT pj, pi, {q6('avg(sd)')} AS std, {q6('coalesce(pow(avg(sd), 2), 1e-10)', '1e10')} AS q FROM ce JOIN c ON abs(lat - pj * 20) < 20 AND abs((lon - pi * 20 + 540) % 360 - 180) < 20 GROUP BY pj, pi""")
 def basis_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance of each centre from a map of the daily deviation around it."""
-    d = _daily(spark, sf_dir).groupBy("j", "i").agg(F.when(F.count("*") > 1, F.stddev_pop("y")).alias("sd"))
+    d = _daily(readings(spark, sf_dir)).groupBy("j", "i").agg(F.when(F.count("*") > 1, F.stddev_pop("y")).alias("sd"))
     d = d.withColumn("lat", (F.col("j") + 0.5) * CELL - 90).withColumn("lon", (F.col("i") + 0.5) * CELL)
     s = basis.local_spread(d, "sd", 20.0, CELL)
     return s.select("pj", "pi", r6("std").alias("std"), r6("q", 1e10).alias("q"))
@@ -100,15 +99,3 @@ def basis_hbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = nodes(spark, sf_dir)
     rim = b.join(F.broadcast(b.agg(F.min("lat").alias("south")))).filter("lat = south").select("lon", (F.col("ts") / 86400).alias("d"))
     return basis.boundary_amplitudes(rim, "d", 2.0, 1.5, 5.0).groupBy("p", "it").agg(F.count("*").alias("n"), r6(F.sum("w"), 1e4).alias("mass"))
-
-
-@query()
-def inv_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variational model run five days forward from each day's whole map."""
-    return fill.on_globe(_maps(spark, sf_dir), partial(fill.diffused, steps=5)).drop("filled")
-
-
-@query()
-def adjoint_tangent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dot-product and tangent-linear test of the shallow-water kernel on every tile."""
-    return kernels.check_tiles(_tiles(spark, sf_dir), CELL)

@@ -7,8 +7,14 @@ and nothing passes through the driver. Point the same functions at a longer-live
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from tidemill.sources.tables import new_folder
 
@@ -53,3 +59,37 @@ def sessions(events: DataFrame, at: str, gap: str, late: str, keys: list[str]) -
 def deduplicated(events: DataFrame, key: str, at: str, late: str) -> DataFrame:
     """First delivery of each key within the watermark's delay; state is dropped as the watermark passes."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def run_in_turns(batches: list[DataFrame], work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Deliver ``batches`` one after the other to one stream, each followed by a run over what is new, and return all that was put out.
+
+    Each run takes up the checkpoint of the run before: offsets, watermark and state are handed over.
+    """
+    spark = batches[0].sparkSession
+    at = new_folder(spark, f"stream-{name}")
+    for n, batch in enumerate(batches):
+        batch.write.parquet(f"{at}/in/turn={n}")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{at}/in/turn=*")
+        out = work(stream)
+        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def handed_over(events: DataFrame, key: str, at: str, value: str, decay_s: float) -> DataFrame:
+    """key, n, last, state after each micro-batch: the sum of ``value`` weighted by exp(-age / decay_s), age being counted from the
+    key's last event (``at``, in seconds). What is kept of a key is one row, whatever its history; the order of events does not matter."""
+
+    def step(k: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last, total = state.get if state.exists else (0, -math.inf, 0.0)
+        for p in parts:
+            t, v = p[at].to_numpy(float), p[value].to_numpy(float)
+            now = max(last, float(t.max()))
+            total = (total * math.exp((last - now) / decay_s) if n else 0.0) + float((v * np.exp((t - now) / decay_s)).sum())
+            n, last = n + len(p), now
+        state.update((n, last, total))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "last": [last], "state": [total]})
+
+    e = events.filter(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull()).select(key, at, value)
+    kind = dict(e.dtypes)[key]
+    return e.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, last double, state double", "n long, last double, state double", "append", "NoTimeout")
