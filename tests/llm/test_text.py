@@ -30,7 +30,7 @@ def by_replay(texts):
     bounds = np.cumsum([0, *map(len, texts)])
     start = tokens.split_points(cp, bounds)
     number, words = tokens.number_words(text, cp, start)
-    ids = tokens.replay([w.encode() for w in words], tokens.ranks(tokens.VOCABULARY))
+    ids = tokens.replay([w.encode() for w in words], tokens.ranks(tokens.read_vocabulary(tokens.VOCABULARY)))
     cut = np.r_[0, np.cumsum(np.diff(np.searchsorted(start, bounds)))]
     return [[i for n in number[a:b] for i in ids[n]] for a, b in zip(cut, cut[1:])]
 
@@ -122,6 +122,36 @@ def test_speech_of_very_long_texts(spark):
     assert got == {1: 50_000, 2: 1, 3: 1002}
 
 
+def test_long_brackets_and_adverts_are_no_speech(spark):
+    sound = "[" + "a very long sound " * 100 + "]"
+    advert = "buy more " * 200 + "at www.some.org " + "and more " * 200
+    texts = [f"1\n00:00:01,000 --> 00:00:02,000\nOne two.\n\n2\n{sound} three\n\n{advert}\nfour (never closed\n\nfive) six", "JOHN: hello\r\n{1}{2}you {y:i}there\n♪ la la ♪\n*knocks* come &amp; in"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.w for r in docs.select("doc_id", F.regexp_extract_all(reading_level.speech(F.col("text")), F.lit(r"\\p{L}+"), 0).alias("w")).collect()}
+    assert got == {0: ["one", "two", "three", "four", "never", "closed", "five", "six"], 1: ["hello", "you", "there", "come", "in"]}
+
+
+def _levels(spark, **kw):
+    sf = "/root/testdata/sf0.001"
+    return {r.doc_id: r.level for r in reading_level.estimate_levels(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/read_labels.parquet"), **kw).collect()}
+
+
+def test_levels_have_converged_and_do_not_depend_on_the_join(spark):
+    want = _levels(spark)
+    for other in (_levels(spark, tolerance=1e-6), _levels(spark, broadcast_words=200)):
+        assert want.keys() == other.keys() and max(abs(want[k] - other[k]) for k in want) < 0.01
+
+
+def test_release_drops_the_tables_of_edges(spark):
+    from tidemill.sources import tables
+
+    reading_level.Graph(spark.read.parquet(f"{DATA}/documents.parquet"))
+    names = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith(("edges_", "counts_"))]
+    assert names()
+    tables.release(spark)
+    assert names() == []
+
+
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_queries_run(spark, name):
     assert llm.QUERIES[name](spark, DATA).count() > 0

@@ -6,8 +6,9 @@ hash over buckets of about ``per_bucket`` items, however the sizes or sources ar
 by itself; every bucket sees the same mixture of sizes, so all that is lost is about one part-filled container each.
 
 Defined results: an item larger than the capacity is cut into pieces of full capacity, each a container of its own,
-and one rest; nothing else is cut. Items of size 0 or null (empty and null texts) take part with size 0 and need no
-space. Every piece of every item gives one row.
+and one rest; nothing else is cut. Items of size 0 or null (empty and null texts) need no space and
+get a container that may hold others. Every piece of every item gives one row. The bucket is told by doc_id, piece and size, so that buckets do not
+depend on how the input is split.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 PER_BUCKET = 20000
+MOST_PARTITIONS = 10000
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
@@ -96,7 +98,11 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, per_bucket: int
     rest = items.select("doc_id", full.alias("piece_no"), (F.col("size") % capacity).alias("n_tokens")).filter("n_tokens > 0 or piece_no = 0")
     n = rest.count()
     buckets = max(1, -(-n // per_bucket))
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.lit(buckets)))
-    # a given number of partitions: buckets are few bytes and much work, so they must not be merged by size
-    small = rest.repartition(min(buckets, 10000), "bucket").groupBy("bucket").applyInPandas(_bucket(capacity), "doc_id long, piece_no long, n_tokens long, container long")
-    return big.unionByName(small)
+    salt = F.coalesce("doc_id", F.monotonically_increasing_id())  # rows without an id are spread
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64(salt, "piece_no", "n_tokens"), F.lit(buckets)))
+    # what takes no space goes into the first container of its bucket
+    empty = rest.filter("n_tokens = 0").select("doc_id", "piece_no", "n_tokens", (F.col("bucket") * (1 << 32)).alias("container"))
+    # a given number of partitions: buckets are few bytes and much work, so they must not be merged by size; beyond
+    # MOST_PARTITIONS a task packs several buckets
+    small = rest.filter("n_tokens > 0").repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInPandas(_bucket(capacity), "doc_id long, piece_no long, n_tokens long, container long")
+    return big.unionByName(empty).unionByName(small)

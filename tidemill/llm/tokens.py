@@ -4,14 +4,15 @@ Corpus-level merge replay. Spark carries the work in three stages:
 
 1. Tasks cut blocks of documents into words (vectorised, on arrays of code points) and keep of each block its
    distinct words and, for each document, numbers of words. The blocks are a table in the shared folder.
-2. The distinct words of the whole corpus are spread over tasks by hash. Each task lays its words out as one
-   sequence of symbols and replays the merges: an inverted index from pair to positions applies each merge in
-   order of rank, touching only the neighbours of the places merged. Words never meet, so shares of the
+2. The distinct words of the whole corpus are spread over tasks by hash. A task lays the words of each Arrow batch out as
+   one sequence of symbols and replays the merges: an inverted index from pair to positions applies each merge in
+   order of rank, touching only the neighbours of the places merged. Words never meet, so batches of the
    vocabulary are independent and the result is exact. Each distinct word of the corpus is merged once.
 3. Ids of words are joined to the blocks' words, gathered by block and laid out by document with array indexing.
 
-No vocabulary is broadcast and no word of a document is a row of a shuffle; what travels are each block's distinct
-words (about one row in a hundred words) and the packed numbers.
+The corpus's words are never broadcast and no word of a document is a row of a shuffle; what travels are each block's
+distinct words (about one row in a hundred words) and the packed numbers. The public vocabulary is read by the driver
+and broadcast to the tasks, so that executors need no file.
 
 Defined results: null and empty texts have no ids (an empty list); strings that look like special tokens are
 ordinary text; every document gives one row, repeated and null doc_id included.
@@ -160,10 +161,15 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(task + next(count), ids, texts)
 
 
-@functools.cache
-def ranks(path: str) -> dict[bytes, int]:
+@functools.lru_cache(2)
+def ranks(vocabulary: bytes) -> dict[bytes, int]:
+    """Token to rank, of a vocabulary file's content."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+
+
+def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return f.read()
 
 
 def replay(words: list[bytes], rank: dict[bytes, int]) -> list[list[int]]:
@@ -224,11 +230,13 @@ def replay(words: list[bytes], rank: dict[bytes, int]) -> list[list[int]]:
     return out
 
 
-def _replay_words(path: str):
+def _replay_words(vocabulary):
+    """``vocabulary``: a broadcast of the file's content, whose size does not grow with the corpus."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replay([w.encode() for w in words], ranks(path)), pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replay([w.encode() for w in words], ranks(vocabulary.value)), pa.list_(pa.int32()))], ["word", "ids"])
 
     return run
 
@@ -265,9 +273,9 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks_with_ids(documents: DataFrame, path: str) -> DataFrame:
     spark = documents.sparkSession
     blocks = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut, _BLOCKS), "blocks")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.rdd.getNumPartitions())  # follows the input
     words = blocks.select(F.explode("words").alias("word")).distinct().repartition(parts, "word")
-    merged = words.mapInArrow(_replay_words(path), "word string, ids array<int>")
+    merged = words.mapInArrow(_replay_words(spark.sparkContext.broadcast(read_vocabulary(path))), "word string, ids array<int>")
     placed = blocks.select("block_id", F.posexplode("words").alias("number", "word")).join(merged, "word")
     gathered = placed.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("number", "ids"))).alias("w"))  # a block's distinct words: bounded by its size
     gathered = gathered.select("block_id", F.col("w.ids").alias("word_ids"))
