@@ -8,6 +8,7 @@ analysis sum over time before they touch space.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +81,10 @@ def gt(days: DataFrame, decay: float) -> DataFrame:
 WAVE = ["iff", "pj", "pi", "itheta", "phase"]
 
 
-def analysis(gx_: DataFrame, gt_: DataFrame, field: DataFrame, value: str) -> DataFrame:
-    """Transpose of synthesis: x of each wavelet from a field (day, j, i, value). Time is summed first."""
+def analysis(gx_: DataFrame, gt_: DataFrame, field: DataFrame, value: str, wave: list[str] = WAVE) -> DataFrame:
+    """Transpose of synthesis: x of each wavelet (of the key ``wave``) from a field (day, j, i, value). Time is summed first."""
     s = field.join(gt_, "day").groupBy("it", "j", "i").agg(F.sum(F.col("wt") * F.col(value)).alias("_s"))
-    return s.join(gx_, ["j", "i"]).groupBy(*WAVE, "it").agg(F.sum(F.col("w") * F.col("_s")).alias("x"))
+    return s.join(gx_, ["j", "i"]).groupBy(*wave, "it").agg(F.sum(F.col("w") * F.col("_s")).alias("x"))
 
 
 def synthesis(gx_: DataFrame, gt_: DataFrame, control: DataFrame) -> DataFrame:
@@ -98,18 +99,20 @@ def spectral_laws(wave: DataFrame, longest_km: float, q_max: float, q_slope: flo
     return wave.withColumn("q", q_max * F.pow(rel, F.lit(q_slope))).withColumn("tdec", F.greatest(t_max * F.pow(rel, F.lit(t_slope)), F.lit(t_min)))
 
 
-def bumps(cells: DataFrame, step: float, support: float, cell_deg: float) -> DataFrame:
-    """pj, pi, j, i, w of the basis without directions: compact correlation functions of ``support`` degrees on a lattice of ``step``.
+def bumps(cells: DataFrame, step: float, support: float, cell_deg: float, shape: Callable[[Column], Column] | None = None) -> DataFrame:
+    """pj, pi, j, i, w of the basis without directions: compact functions of ``support`` degrees on a lattice of ``step``, the
+    product of ``shape`` (a correlation function unless given) along both axes.
 
     Each centre enumerates the cells of its box, so the join is on the cell. ``step`` divides 360.
     """
+    shape = shape or (lambda d: gaspari_cohn(d, support))
     c = cells.select(F.floor(F.col("lat") / step + 0.5).alias("pj"), F.pmod(F.floor(F.col("lon") / step + 0.5), F.lit(round(360 / step)).cast("long")).alias("pi")).distinct()
     at = F.col("pj") * step + 90
     c = c.withColumn("j", F.explode(F.sequence(F.floor((at - support) / cell_deg), F.floor((at + support) / cell_deg))))
     c = c.withColumn("i", F.explode(_columns(F.col("pi") * step - support, F.col("pi") * step + support, cell_deg)))
     b = c.join(cells.select("j", "i", "lat", "lon"), ["j", "i"])
     y, x = F.col("lat") - F.col("pj") * step, _east(F.col("lon") - F.col("pi") * step)
-    return b.filter((F.abs(x) < support) & (F.abs(y) < support)).select("pj", "pi", "j", "i", (gaspari_cohn(x, support) * gaspari_cohn(y, support)).alias("w"))
+    return b.filter((F.abs(x) < support) & (F.abs(y) < support)).select("pj", "pi", "j", "i", (shape(x) * shape(y)).alias("w"))
 
 
 def gt_ladder(days: DataFrame, decays: list[float]) -> DataFrame:

@@ -51,3 +51,16 @@ def handed_on(df: DataFrame, keys: list[str], step: str, value: str, keep: float
     k = F.lit(float(keep))
     so_far = F.sum(gain * F.col(value) * F.pow(k, -age)).over(W.partitionBy(*keys, "_block").orderBy(step))
     return b.withColumn("state", so_far * F.pow(k, age)).filter("_own = _block").select(*keys, step, "state")
+
+
+def kernel_filled(grid: DataFrame, keys: list[str], value: str, n_j: int, n_i: int) -> DataFrame:
+    """keys, j, i, given, value: the given cells, and the cells beside them with the mean of those under a Gaussian kernel of 3 x 3.
+
+    Each cell sends its value to the cells around it and one partial aggregate collects them; longitudes are periodic.
+    """
+    cell = lambda dj, di: F.struct((F.col("j") + dj).alias("j"), F.pmod(F.col("i") + di, F.lit(n_i)).alias("i"), F.lit(math.exp(-(dj * dj + di * di) / 2)).alias("w"), F.lit(dj == di == 0).alias("own"))
+    around = F.explode(F.array(*[cell(dj, di) for dj in (-1, 0, 1) for di in (-1, 0, 1)]))
+    s = grid.select(*keys, value, around.alias("c")).select(*keys, value, "c.*").filter((F.col("j") >= 0) & (F.col("j") < n_j))
+    own = F.max(F.when(F.col("own"), F.col(value)))
+    mean = F.sum(F.col("w") * F.col(value)) / F.sum("w")
+    return s.groupBy(*keys, "j", "i").agg((F.count_if("own") > 0).alias("given"), F.coalesce(own, mean).alias(value))

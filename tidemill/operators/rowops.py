@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,3 +73,12 @@ def block_mean_2d(df: DataFrame, group: list[str], row: Column, col: Column, k:
     b = df.withColumns({"block_row": F.floor(F.col("_ri") / k), "block_col": F.floor(F.col("_ci") / k)}).join(size, group)
     b = b.filter((F.col("block_row") < F.col("_nr")) & (F.col("block_col") < F.col("_nc")))
     return b.groupBy(*group, "block_row", "block_col").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols])
+
+
+def normal_noise(number: Column) -> Column:
+    """Standard normal numbers made from a whole number (Box-Muller over two rounds of integer mixing), the same in every run and engine."""
+    most = 1 << 31
+    mix = lambda x: F.pmod(F.shiftright(x * x, 16), F.lit(most))
+    one = mix(F.pmod(F.pmod(number.cast("long"), F.lit(most)) * 1103515245 + 12345, F.lit(most)))
+    two = mix(F.pmod(one * 69069 + 1, F.lit(most)))
+    return F.sqrt(-2 * F.log((one + 1) / most)) * F.cos(2 * math.pi * two / most)

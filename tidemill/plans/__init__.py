@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["problems", "rows", "joins", "diagnostics", "dynamics", "streams", "extras", "models", "gridded"]
+MODULES = ["problems", "rows", "joins", "diagnostics", "dynamics", "streams", "extras", "models", "gridded", "outputs"]
 FLAGSHIP = "leaderboard_ose"
 
 
