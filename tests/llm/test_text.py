@@ -131,14 +131,17 @@ def test_long_brackets_and_adverts_are_no_speech(spark):
     assert got == {0: ["one", "two", "three", "four", "never", "closed", "five", "six"], 1: ["hello", "you", "there", "come", "in"]}
 
 
-def _levels(spark, **kw):
-    sf = "/root/testdata/sf0.001"
-    return {r.doc_id: r.level for r in reading_level.estimate_levels(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/read_labels.parquet"), **kw).collect()}
+def test_levels_have_converged_and_do_not_depend_on_the_join(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "read_labels"))
+    graded = labels.filter("read_level is not null").groupBy("doc_id").agg(F.avg("read_level").alias("grade"))
 
+    def levels(tolerance, **kw):
+        out, steps = reading_level.harmonic(reading_level.Graph(docs, **kw), graded, 3.0, tolerance)
+        return {r.doc_id: r.v for r in out.collect()}, steps
 
-def test_levels_have_converged_and_do_not_depend_on_the_join(spark):
-    want = _levels(spark)
-    for other in (_levels(spark, tolerance=1e-6), _levels(spark, broadcast_words=200)):
+    (want, n), (tight, m), (shuffled, _) = levels(1e-4), levels(1e-6), levels(1e-4, broadcast_words=200)
+    assert n < m < 40 and len(want) > 80
+    for other in (tight, shuffled):
         assert want.keys() == other.keys() and max(abs(want[k] - other[k]) for k in want) < 0.01
 
 
