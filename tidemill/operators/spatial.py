@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.scalars import geo2cart
+from tidemill.sources.tables import materialize
 
 
 def _bucketed(df: DataFrame, size: float, spread: bool) -> DataFrame:
@@ -35,6 +36,21 @@ def near_cells(points: DataFrame, cells: DataFrame, reach_km: float, point: str
     return p.join(c, ["bx", "by", "bz"]).select(point, cell, d.alias("d")).filter(F.col("d") <= reach_km)
 
 
+def nearest_distance(points: DataFrame, cells: DataFrame, reach_km: float, point: str = "obs_id", cell: str = "cell_id") -> DataFrame:
+    """point, d (chord in km) to the nearest cell, however far; points have no row only if there are no cells.
+
+    Points without a cell in reach are asked again with twice the reach, which on a sphere ends after a few rounds.
+    """
+    rest, found = materialize(points.select(point, "lat", "lon"), "points"), None
+    while True:
+        near = materialize(near_cells(rest, cells, reach_km, point, cell).groupBy(point).agg(F.min("d").alias("d")), "near")
+        found = near if found is None else found.unionByName(near)
+        rest = materialize(rest.join(near, point, "left_anti"), "rest")
+        if reach_km > 12800 or rest.isEmpty():  # no two points of the earth lie farther apart
+            return found
+        reach_km *= 2
+
+
 def knn_weights(points: DataFrame, cells: DataFrame, k: int, reach_km: float, point: str = "obs_id", cell: str = "cell_id") -> DataFrame:
     """The observation operator H as rows point, cell, d, w: Gaussian weights of the k nearest cells, summing to 1.
 

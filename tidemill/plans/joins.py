@@ -207,13 +207,13 @@ def idw_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {B_SQL}, a AS (SELECT node_id, min(lat) AS lat, min(lon) AS lon, count(v) AS n FROM b GROUP BY node_id),
 q AS (SELECT node_id, n, {_xyz("p")} FROM a), e AS (SELECT o.node_id, min(sqrt((o.px - l.px) * (o.px - l.px) + (o.py - l.py) * (o.py - l.py) + (o.pz - l.pz) * (o.pz - l.pz))) AS d FROM q o, q l WHERE o.n > 0 AND l.n = 0 GROUP BY o.node_id),
-f AS (SELECT q.node_id, CASE WHEN d <= 500 THEN greatest(d - 40, 0) END AS d FROM q LEFT JOIN e USING (node_id) WHERE n > 0)
+f AS (SELECT q.node_id, CASE WHEN d IS NOT NULL THEN greatest(d - 40, 0) END AS d FROM q LEFT JOIN e USING (node_id) WHERE n > 0)
 SELECT node_id, {q6('d', '1e3')} AS km, {q6("coalesce(" + scalars.SQL['smoothstep'].format(x='least(d / 300.0, 1)') + ", 0.0)")} AS taper FROM f""")
 def boundary_distance_taper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each sea node to the nearest land node less half a cell, and the sponge's weight; land beyond 500 km does not matter."""
-    b = nodes(spark, sf_dir).groupBy("node_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("v").alias("n"))
+    """Distance of each sea node to the nearest land node less half a cell, however far, and the sponge's weight."""
+    b = materialize(nodes(spark, sf_dir).groupBy("node_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("v").alias("n")), "nodes")
     sea, land = b.filter("n > 0"), b.filter("n = 0").withColumnRenamed("node_id", "cell_id")
-    near = spatial.near_cells(sea, land, 500.0, "node_id", "cell_id").groupBy("node_id").agg(F.greatest(F.min("d") - 40, F.lit(0.0)).alias("d"))
+    near = spatial.nearest_distance(sea, land, 500.0, "node_id", "cell_id").withColumn("d", F.greatest(F.col("d") - 40, F.lit(0.0)))
     out = sea.select("node_id").join(near, "node_id", "left")
     return out.select("node_id", r6("d", 1e3).alias("km"), r6(F.coalesce(scalars.smoothstep_taper(F.col("d"), 300.0), F.lit(0.0))).alias("taper"))
 

@@ -12,7 +12,8 @@ from tidemill.operators import basis, blend, rowops, spatial, stats, stencils
 from tidemill.operators.blocks import ranked
 from tidemill.plans.base import B_SQL, CELL, G_SQL, NI, R_SQL, Registry, field, nodes, q6, r6, readings, shared
 from tidemill.plans.diagnostics import _D, runs
-from tidemill.plans.dynamics import _FD, _GX, DECAY, _daily, _gx, _joins, _sten
+from tidemill.plans.dynamics import _AN, _FD, _GX, DECAY, LADDER, _analysis, _daily, _gx, _joins, _sten
+from tidemill.plans.dynamics import _LAD as _LAD_ROWS
 from tidemill.plans.joins import _GW, _M, H_SQL, K, REACH, WIDE, _h, _misfit, _ocean, _wide
 from tidemill.plans.models import _T
 from tidemill.sources import ingest, sinks
@@ -214,3 +215,89 @@ def configured_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = materialize(r.select("win", "v"), "windows")
     both = _STATISTICS.several(["count", "mean"], lambda x: x[0].unionByName(x[1]))
     return both(r.groupBy("win")).select("win", "name", F.when(F.col("name") == "mean", r6("value")).otherwise(F.col("value")).alias("value"))
+
+
+@query(f"{_AN} SELECT iff, count(*) AS n, {q6('sum(x)', '1e2')} AS total FROM (SELECT iff, x + 0.5 * coalesce(x, 0) AS x FROM an) GROUP BY iff")
+def control_vector_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A control vector written by scale and read back as the background, to which half of it is added as an increment."""
+    path = new_folder(spark, "control")
+    x = _analysis(shared(spark, sf_dir))[2]
+    sinks.write_windows(x, path, ["iff"])
+    key = ["iff", "pj", "pi", "itheta", "phase", "it"]
+    background = spark.read.parquet(path)
+    step = background.select(*key, (0.5 * F.col("x")).alias("dx"))
+    new = background.join(step, key, "left").withColumn("x", F.col("x") + F.coalesce("dx", F.lit(0.0)))
+    return new.groupBy(F.col("iff").cast("int").alias("iff")).agg(F.count("*").alias("n"), r6(F.sum("x"), 1e2).alias("total"))
+
+
+@query(f"{_AN} SELECT iff, pj, pi, itheta, phase, it, {q6('x * 0.1 * pow(least(half / 3000.0, 1), 2.5)', '1e6')} AS xi FROM an JOIN (SELECT iff AS f, lam AS half FROM (VALUES {_LAD_ROWS}) l(iff, lam)) ON f = iff")
+def preconditioned_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient in the preconditioned space: each wavelet's analysis times the root of its background variance."""
+    x = _analysis(shared(spark, sf_dir))[2]
+    law = basis.spectral_laws(_scales(spark), 3000.0, 0.1, 2.5, 10.0, 1.2, 1.0)
+    return x.join(F.broadcast(law), "iff").select("iff", "pj", "pi", F.col("itheta").cast("long").alias("itheta"), "phase", "it", r6(F.col("x") * F.col("q")).alias("xi"))  # a row a scale
+
+
+def _scales(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, float(lam)) for n, lam in enumerate(LADDER)], "iff int, half double")
+
+
+@query(f"{R_SQL}, {_GW} SELECT k, j, i, {q6('h')} AS h FROM gw WHERE k = (SELECT max(k) FROM gw WHERE k <= (SELECT floor(avg(k)) FROM gw))")
+def restart_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States written by day; the one to restart from is the latest at or before a date (the mean day), and only its folder is read."""
+    path = new_folder(spark, "restart")
+    sinks.write_windows(_wide(readings(spark, sf_dir)), path, ["k"])
+    states = spark.read.parquet(path)
+    date = states.agg(F.floor(F.avg("k")).alias("date"))
+    last = states.select("k").join(F.broadcast(date)).filter("k <= date").agg(F.max("k").alias("k"))  # one row each
+    return states.join(F.broadcast(last), "k").select(F.col("k").cast("long").alias("k"), F.col("j"), "i", r6("h").alias("h"))
+
+
+@query("SELECT file_id, regexp_replace(obs_path, '^.*/', 'copy/') AS path, obs_name FROM dict_obs WHERE window_ts BETWEEN TIMESTAMP '1993-01-02' AND TIMESTAMP '1993-01-05' AND obs_path IS NOT NULL")
+def manifest_dated_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's entries of some days, written for another folder with their paths moved there, and read back."""
+    path = new_folder(spark, "manifest")
+    d = table(spark, sf_dir, "dict_obs").filter(F.col("window_ts").between(F.lit("1993-01-02").cast("timestamp_ntz"), F.lit("1993-01-05").cast("timestamp_ntz")) & F.col("obs_path").isNotNull())
+    d.select("file_id", F.regexp_replace("obs_path", "^.*/", "copy/").alias("path"), "obs_name").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT sensor, CAST(floor(epoch_us(name_time) / 1e6 / 10800) AS BIGINT) AS win, count(*) AS n FROM obs WHERE name_time IS NOT NULL AND sensor IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (NOT isnan(name_lon * name_lat) AND NOT isinf(name_lon * name_lat)) > 0")
+def windows_not_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of which at least one row has a position."""
+    at = F.col("name_lon") * F.col("name_lat")
+    o = table(spark, sf_dir, "obs").filter("name_time is not null and sensor is not null")
+    g = o.groupBy("sensor", F.floor(F.unix_micros(F.col("name_time").cast("timestamp")) / 1e6 / 10800).alias("win")).agg(F.count("*").alias("n"), F.count_if(F.abs(at) < float("inf")).alias("given"))
+    return g.filter("given > 0").drop("given")
+
+
+@query(f"""{R_SQL}, {_GW}, ax AS (SELECT j, i, stddev_pop(h) AS s FROM gw GROUP BY j, i HAVING count(*) > 1) SELECT obs_id, {q6('coalesce(1.5 * s, err, sigma, 1.0)')} AS err FROM (SELECT obs_id, err, sigma, CAST(least(floor((lat + 90) / {WIDE}), 5) AS BIGINT) AS j, CAST(floor(lon / {WIDE}) AS BIGINT) AS i FROM r) LEFT JOIN ax USING (j, i)""")
+def obs_error_aux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors from an auxiliary map (the deviation of the daily maps) times a factor; else as delivered, nominal, or 1."""
+    r = shared(spark, sf_dir)
+    aux = _wide(r).groupBy("j", "i").agg(F.when(F.count("*") > 1, F.stddev_pop("h")).alias("s"))
+    r = r.withColumns({"j": F.least(F.floor((F.col("lat") + 90) / WIDE), F.lit(5)), "i": F.floor(F.col("lon") / WIDE)}).join(aux, ["j", "i"], "left")
+    return r.select("obs_id", r6(F.coalesce(1.5 * F.col("s"), "err", "sigma", F.lit(1.0))).alias("err"))
+
+
+@query(f"WITH {B_SQL} SELECT bc_id, {q6("v + CASE var_name WHEN 'ssh' THEN 0.25 WHEN 'sst' THEN -0.5 ELSE 0 END")} AS v FROM b WHERE v IS NOT NULL")
+def offset_by_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gridded values with the offset of their own variable; 0 for variables that have none."""
+    offset = F.create_map(F.lit("ssh"), F.lit(0.25), F.lit("sst"), F.lit(-0.5))
+    return nodes(spark, sf_dir).filter("v is not null").select("bc_id", r6(F.col("v") + F.coalesce(offset[F.col("var_name")], F.lit(0.0))).alias("v"))
+
+
+@query("""SELECT l_orderkey, floor(sum(p * dz) / sum(dz) * 1e9 + 0.37) / 1e9 AS one, floor(sum(p * p * dz) / sum(dz) * 1e9 + 0.37) / 1e9 AS two, floor(sum(p * p * p * dz) / sum(dz) * 1e9 + 0.37) / 1e9 AS three, floor(sum(p * t * dz) / sum(dz) * 1e9 + 0.37) / 1e9 AS crossed
+FROM (SELECT l_orderkey, CAST(l_discount AS DOUBLE) AS p, CAST(l_tax AS DOUBLE) AS t, CAST(l_quantity AS DOUBLE) AS dz FROM lineitem) GROUP BY l_orderkey""")
+def coupling_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth-weighted means of a mode, its square, its cube and its product with another; an order's lines are its layers."""
+    p, t, dz = (F.col(c).cast("double") for c in ("l_discount", "l_tax", "l_quantity"))
+    mean = lambda x: F.floor(F.sum(x * dz) / F.sum(dz) * 1e9 + 0.37) / 1e9
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(mean(p).alias("one"), mean(p * p).alias("two"), mean(p * p * p).alias("three"), mean(p * t).alias("crossed"))
+
+
+@query(r"""SELECT file_id, regexp_extract(obs_path, '_([A-Z0-9]+)_SSH_', 1) AS sensor, regexp_extract(obs_path, '_SSH_([0-9]{8})_', 1) AS day, upper(split_part(obs_path, '.', -1)) AS kind, length(obs_path) AS size FROM dict_obs WHERE obs_path IS NOT NULL""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest's paths tell: sensor, day and kind of file."""
+    d = table(spark, sf_dir, "dict_obs").filter("obs_path is not null")
+    return d.select("file_id", F.regexp_extract("obs_path", "_([A-Z0-9]+)_SSH_", 1).alias("sensor"), F.regexp_extract("obs_path", "_SSH_([0-9]{8})_", 1).alias("day"), F.upper(F.substring_index("obs_path", ".", -1)).alias("kind"), F.length("obs_path").alias("size"))
