@@ -84,9 +84,10 @@ class Graph:
         self.edges = bucketed(self.edges, "doc_id", parts, "edges")
 
     def through_words(self, values: DataFrame) -> DataFrame:
-        """doc_id, mean: of every document the mean over its words of the mean over the words' documents of ``v`` (doc_id, v)."""
+        """doc_id, mean: of every document the mean over its words of the mean over the words' documents of ``v`` (doc_id, v; 0
+        for documents that are not there)."""
         share = F.col("share")
-        words = self.edges.join(values, "doc_id").groupBy("word", "hot").agg((F.sum(share * F.col("v")) / F.sum(share)).alias("wv"))
+        words = self.edges.join(values, "doc_id", "left").groupBy("word", "hot").agg((F.sum(share * F.coalesce("v", F.lit(0.0))) / F.sum(share)).alias("wv"))
         if self.few:
             back = self.edges.join(F.broadcast(words.drop("hot")), "word")
         else:
@@ -103,17 +104,12 @@ def harmonic(graph: Graph, graded: DataFrame, middle: float, tolerance: float =
     first = graph.through_words(start).join(graded, "doc_id", "left_anti")
     # x: level, r: residual, p: direction, q: what the equations make of p
     r = F.col("mean") - middle
-    state = first.select("doc_id", F.lit(float(middle)).alias("x"), r.alias("r"), r.alias("p"))
-    rr = n = None
+    state = materialize(first.select("doc_id", F.lit(float(middle)).alias("x"), r.alias("r"), r.alias("p")), "state")
+    rr, n = state.agg(F.sum(F.col("r") * F.col("r")), F.count("*")).first()
     step = 0
-    while True:
-        state = materialize(state, f"state{step}")
-        if rr is None:
-            rr, n = state.agg(F.sum(F.col("r") * F.col("r")), F.count("*")).first()
-        if not n or not math.isfinite(rr) or rr <= tolerance * tolerance * n or step == MOST_STEPS:
-            break
+    while n and math.isfinite(rr) and rr > tolerance * tolerance * n and step < MOST_STEPS:
         step += 1
-        through = graph.through_words(docs.select("doc_id").join(state, "doc_id", "left").select("doc_id", F.coalesce("p", F.lit(0.0)).alias("v")))
+        through = graph.through_words(state.select("doc_id", F.col("p").alias("v")))
         both = materialize(state.join(through, "doc_id").withColumn("q", F.col("p") - F.col("mean")).drop("mean"), f"step{step}")
         dot = lambda a, b: F.sum(F.col(a) * F.col(b))
         pq, rq, qq = both.agg(dot("p", "q"), dot("r", "q"), dot("q", "q")).first()
