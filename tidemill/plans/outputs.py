@@ -301,3 +301,26 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the manifest's paths tell: sensor, day and kind of file."""
     d = table(spark, sf_dir, "dict_obs").filter("obs_path is not null")
     return d.select("file_id", F.regexp_extract("obs_path", "_([A-Z0-9]+)_SSH_", 1).alias("sensor"), F.regexp_extract("obs_path", "_SSH_([0-9]{8})_", 1).alias("day"), F.upper(F.substring_index("obs_path", ".", -1)).alias("kind"), F.length("obs_path").alias("size"))
+
+
+FINE, SHORT = 1.0, basis.scales(970.0, 121.0, 2.0)
+_SHORT = ", ".join(f"({n}, CAST({lam} AS DOUBLE))" for n, lam in enumerate(SHORT))
+_WAVE = "sqrt(2) * pow(cos(pi() / 2 * x / half), 2) * pow(cos(pi() / 2 * y / half), 2) * CASE WHEN phase = 0 THEN cos(2 * pi() / half * (cos(t * pi() / 2) * x + sin(t * pi() / 2) * y)) ELSE sin(2 * pi() / half * (cos(t * pi() / 2) * x + sin(t * pi() / 2) * y)) END"
+
+
+@query(f"""{R_SQL}, fd AS (SELECT CAST(floor(ts / 86400) AS BIGINT) AS day, CAST(least(floor((lat + 90) / {FINE}), 179) AS BIGINT) AS j, CAST(floor(lon / {FINE}) AS BIGINT) AS i, avg(v) AS y FROM r WHERE abs(v) < 5 GROUP BY ALL),
+g AS (SELECT DISTINCT j, i, (j + 0.5) * {FINE} - 90 AS lat, (i + 0.5) * {FINE} AS lon FROM fd),
+ce AS (SELECT *, pj * step AS lat0, pi * step AS lon0 FROM (SELECT DISTINCT iff, lam AS half, lam / 110.0 / 2 AS step, CAST(floor(lat / (lam / 110.0 / 2) + 0.5) AS BIGINT) AS pj, CAST(floor(lon / (lam / 110.0 / 2) + 0.5) AS BIGINT) AS pi FROM g, (VALUES {_SHORT}) l(iff, lam)) WHERE abs(pj * step) <= 85),
+bx AS (SELECT iff, pj, pi, half, j, i, (lon - lon0 + 540 - 360 * floor((lon - lon0 + 540) / 360) - 180) * 110.0 * cos(radians(lat0)) AS x, (lat - lat0) * 110.0 AS y FROM ce JOIN g ON lat BETWEEN lat0 - half / 109.0 AND lat0 + half / 109.0),
+gx AS (SELECT iff, pj, pi, j, i, t AS itheta, phase, {_WAVE} AS w FROM bx, (VALUES (0), (1)) a(t), (VALUES (0), (1)) q(phase) WHERE abs(x) <= half AND abs(y) <= half),
+gt AS (SELECT day, it, pow(cos(pi() / 2 * (day - it * {DECAY}) / {DECAY}), 2) AS wt FROM (SELECT day, unnest([CAST(floor(day / {DECAY}) AS BIGINT), CAST(floor(day / {DECAY}) AS BIGINT) + 1]) AS it FROM (SELECT DISTINCT day FROM fd))),
+an AS (SELECT iff, pj, pi, itheta, phase, it, sum(w * s) AS x FROM (SELECT it, j, i, sum(wt * y) AS s FROM fd JOIN gt USING (day) GROUP BY ALL) JOIN gx USING (j, i) GROUP BY ALL)
+SELECT iff, itheta, phase, it, count(*) FILTER (abs(x) > 1e-6) AS n, {q6('sum(x)', '1e2')} AS total, {q6('sum(x * x)', '1e2')} AS energy FROM an GROUP BY ALL""")
+def basis_analysis_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis by wavelets of 970 to 121 km on a map of one degree: number, sum and energy of the control vector by scale, direction and time."""
+    j = F.least(F.floor((F.col("lat") + 90) / FINE), F.lit(179))
+    d = readings(spark, sf_dir).filter(F.abs("v") < 5).groupBy(F.floor(F.col("ts") / 86400).alias("day"), j.alias("j"), F.floor(F.col("lon") / FINE).alias("i")).agg(F.avg("v").alias("y"))
+    d = materialize(d, "daily")
+    cells = materialize(d.select("j", "i").distinct().withColumns({"lat": (F.col("j") + 0.5) * FINE - 90, "lon": (F.col("i") + 0.5) * FINE}), "cells")
+    x = basis.analysis(basis.gx(basis.centres(cells, FINE, SHORT), cells, FINE, 2), basis.gt(d.select("day").distinct(), DECAY), d, "y")
+    return x.groupBy("iff", F.col("itheta").cast("long").alias("itheta"), "phase", "it").agg(F.count_if(F.abs("x") > 1e-6).alias("n"), r6(F.sum("x"), 1e2).alias("total"), r6(F.sum(F.col("x") ** 2), 1e2).alias("energy"))
