@@ -22,13 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches: spark.checkpoint.dir of the session.
 
-    Where it is unset, a temporary folder is taken if the session runs in one process (tests, a laptop); on a cluster
+    Where it is unset, a temporary folder is taken if the session runs on one machine (tests, a laptop); on a cluster
     each executor would write to a disk of its own, so that raises.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not master.startswith("local"):
             raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} reach")
         at = f"file://{os.path.join(tempfile.gettempdir(), 'tidemill')}"
     return at.rstrip("/")
