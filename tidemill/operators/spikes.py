@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.blocks import ranked, with_halo
 from tidemill.operators.regrid import seconds
-from tidemill.sources.tables import broadcast_if_small, given, materialize
+from tidemill.sources.tables import BROADCAST_ROWS, given, materialize
 
 BLOCK = 2000
 HALO = 64
@@ -52,8 +52,9 @@ def beyond(value: Column, low: Column, high: Column) -> Column:
     return (F.abs(value) >= HUGE) | out(value < low) | out(value > high)
 
 
-def behaviour(values: DataFrame) -> DataFrame:
-    """source, good_mean, good_sd of each source; possible values within LIMIT_SD robust spreads of the median are good.
+def behaviour(values: DataFrame) -> tuple[DataFrame, bool]:
+    """(source, good_mean, good_sd of each source; whether they are few enough to broadcast). Possible values within
+    LIMIT_SD robust spreads of the median are good.
 
     Two passes of partial aggregates: quantiles, then moments of the values they admit. Quantiles are of bounded
     error and tolerate that half of the values are wrong, if they lie on both sides.
@@ -62,10 +63,11 @@ def behaviour(values: DataFrame) -> DataFrame:
     q = values.groupBy("source").agg(F.percentile_approx("value", [0.1, 0.25, 0.5, 0.75, 0.9], 2000).alias("q"))
     # a source mostly stuck has no middle spread; the outer quantiles stand in
     rough = F.greatest((F.col("q")[3] - F.col("q")[1]) / 1.349, (F.col("q")[4] - F.col("q")[0]) / 2.563 / 2)
-    q = q.select("source", F.col("q")[2].alias("centre"), rough.alias("spread"))
+    q = materialize(q.select("source", F.col("q")[2].alias("centre"), rough.alias("spread")), "quantiles")
+    few = q.count() <= BROADCAST_ROWS
     # one row a source; a source with a third of the rows would skew a shuffle join
-    good = values.join(broadcast_if_small(q, "quantiles"), "source").filter(F.abs(F.col("value") - F.col("centre")) <= LIMIT_SD * F.col("spread"))
-    return good.groupBy("source").agg(F.avg("value").alias("good_mean"), F.stddev_pop("value").alias("good_sd"))
+    good = values.join(F.broadcast(q) if few else q, "source").filter(F.abs(F.col("value") - F.col("centre")) <= LIMIT_SD * F.col("spread"))
+    return materialize(good.groupBy("source").agg(F.avg("value").alias("good_mean"), F.stddev_pop("value").alias("good_sd")), "behaviour"), few
 
 
 def _innovations(v: np.ndarray, t: np.ndarray, mean: np.ndarray, sd: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -125,7 +127,8 @@ def candidates(readings: DataFrame, block: int = BLOCK, halo: int = HALO) -> tup
     assert halo >= RUN - 1
     base = readings.filter(F.col("source").isNotNull() & F.col("rec_id").isNotNull() & given(F.col("value")))
     base = materialize(base.select("source", "rec_id", seconds(F.col("time")).alias("t"), "value", beyond(F.col("value"), F.col("low"), F.col("high")).alias("bad")), "readings")
-    normal = broadcast_if_small(behaviour(base), "behaviour")
+    normal, few = behaviour(base)
+    normal = F.broadcast(normal) if few else normal
     order = ["t", "rec_id"]
     bin_ = F.floor(F.col("t") / BIN_S)
     timed = ranked(base.filter("t is not null"), ["source"], bin_, order)
@@ -133,8 +136,8 @@ def candidates(readings: DataFrame, block: int = BLOCK, halo: int = HALO) -> tup
     timed = materialize(timed.withColumn("step", F.abs(F.col("value") - F.lag("value").over(W.partitionBy("source", bin_).orderBy(*order)))), "ranked")
     near = timed.join(normal, "source").filter(F.abs(F.col("value") - F.col("good_mean")) <= LIMIT_SD * F.col("good_sd"))
     noise = near.groupBy("source").agg((F.percentile_approx("step", 0.5, 2000) * 1.4826 / math.sqrt(2)).alias("noise"))
-    own = normal.join(broadcast_if_small(noise, "noise"), "source", "left")
-    cut = with_halo(timed.drop("step"), block, halo).join(broadcast_if_small(own, "sources"), "source", "left")
+    own = normal.join(F.broadcast(noise) if few else noise, "source", "left")
+    cut = with_halo(timed.drop("step"), block, halo).join(F.broadcast(own) if few else own, "source", "left")
     groups = max(1, -(-timed.count() // ROWS_A_GROUP))
     flagged = cut.groupBy(F.pmod(F.xxhash64("source", "block"), F.lit(groups)).alias("group")).applyInPandas(_blocks, "source string, rec_id long, value double, z double, stuck boolean, bad boolean")
     loose = base.filter("t is null").join(normal, "source", "left")
