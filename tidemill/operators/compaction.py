@@ -102,7 +102,7 @@ def plan(contrib: DataFrame, target_rows: int = TARGET_ROWS, fanout: int = FANOU
         files = files.withColumns({"span": F.floor(F.col("slot") / fanout**level), "small": F.col("n_rows") < limit, "part": F.lit(0).cast("long")})
         if level == 1:
             crowd = files.groupBy("obs_name", "span", "small").agg(F.ceil(F.count("*") / GROUP_FILES).alias("_k")).filter("_k > 1")
-            files = files.join(broadcast_if_small(crowd, "crowded"), ["obs_name", "span", "small"], "left")
+            files = files.join(crowd, ["obs_name", "span", "small"], "left")
             files = files.withColumn("part", F.coalesce(F.pmod(F.xxhash64("now"), F.col("_k")), F.lit(0))).drop("_k")
         group = ["obs_name", "span", "small", "part"]
         cut = files.withColumn("run", F.floor((F.sum("n_rows").over(W.partitionBy(*group).orderBy("slot", "now")) - 1) / limit))
@@ -175,7 +175,8 @@ def compact(spark: SparkSession, obs: DataFrame, manifest: DataFrame, out_dir: s
         held = _stored(spark, out_dir, live).filter(F.col("obs_id").between(ends[0], ends[1])).select("obs_id")
         rows = rows.join(held.join(broadcast_if_small(rows.select("obs_id"), "ids"), "obs_id", "left_semi"), "obs_id", "left_anti")
     contrib = materialize(contributions(rows.select(*[c for c in ("obs_id", "file_id", "sensor", "name_time") if c in rows.columns]), manifest), "entries")
-    if contrib.isEmpty():
+    entries, taken = contrib.agg(F.count("*"), F.sum("n_kept")).first()
+    if not entries:
         return done if done is not None else spark.createDataFrame([], JOURNAL)
     files = contrib.withColumns({"old": F.lit(None).cast("string"), "path": F.lit(None).cast("string")})  # of live outputs: their run and file
     if live is not None:
@@ -192,15 +193,16 @@ def compact(spark: SparkSession, obs: DataFrame, manifest: DataFrame, out_dir: s
     sized = placement.join(files, "file_id")
     moved = rows.join(hinted(placement), "file_id")
     planned = sized.groupBy("output_id").agg(F.sum("n_kept").alias("n_rows"), F.min("obs_name").alias("obs_name"), F.min("slot").alias("slot"), F.max(F.when(F.col("old").isNull(), 1).otherwise(0)).alias("_new"), F.count("*").alias("_n"))
-    planned = materialize(planned.filter("_n > 1 or _new = 1").select("output_id", "n_rows", "obs_name", "slot"), "planned")
+    planned = planned.filter("_n > 1 or _new = 1").select("output_id", "n_rows", "obs_name", "slot")
     retired = None
     if live is not None:
+        planned = materialize(planned, "planned")
         retired = materialize(sized.filter("old is not null").join(planned.select("output_id"), "output_id").select(F.col("old").alias("run_id"), F.col("file_id").alias("output_id"), F.col("output_id").alias("_to"), "path"), "retired")
         if not retired.isEmpty():
             back = _stored(spark, out_dir, retired, "_to").drop("run_id", "output_id").withColumnRenamed("_to", "output_id")
             moved = moved.unionByName(back, allowMissingColumns=True)
     at = f"{out_dir}/data/run_id={run_id}"
-    if contrib.agg(F.sum("n_kept")).first()[0]:
+    if taken:
         order = [c for c in ("output_id", "name_time") if c in moved.columns]
         # an output is at most target_rows or one merge of smaller ones, so one task and one file hold it
         moved.repartition("output_id").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("output_id").parquet(at)
